@@ -36,7 +36,7 @@ def token_live(metrics: DataFrame, as_of: Column, short_seconds: int = 300, long
         F.count_if(~is_buy & long).alias("sells_1h"),
         (safe_divide(latest, old) - 1.0).alias("price_change_1h"),
         F.max_by("pump_probability", at).alias("pump_probability"),
-        (F.unix_micros(F.max(now)) / 1e6 - F.unix_micros(F.min(at)) / 1e6).alias("age_seconds"),
+        ((F.unix_micros(F.max(now)) - F.unix_micros(F.min(at))) / 1e6).alias("age_seconds"),
         F.max(at).alias("updated_at"),
     )
 

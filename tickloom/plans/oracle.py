@@ -45,7 +45,7 @@ VIEWS = {
                arg_max(price, metric_time) / arg_max(price, metric_time)
                    FILTER (WHERE metric_time <= mx - INTERVAL 7 DAY) - 1 AS price_change_1h,
                arg_max(pump_probability, metric_time) AS pump_probability,
-               epoch_us(max(mx)) / 1e6 - epoch_us(min(metric_time)) / 1e6 AS age_seconds,
+               (epoch_us(max(mx)) - epoch_us(min(metric_time))) / 1e6 AS age_seconds,
                max(metric_time) AS updated_at
         FROM (SELECT *, max(metric_time) OVER () AS mx FROM token_metrics) GROUP BY token_id""",
     "positions": """
