@@ -26,8 +26,8 @@ ALT_POSITIONS = {"open_s": 0, "low": 1, "high": 2, "open": 3, "close": 4, "volum
 KLINE_FIELDS = 11
 
 # Short field names of the stream envelopes.
-KLINE_STREAM_SCHEMA = """struct<data:struct<e:string,k:struct<s:string,i:string,t:bigint,T:bigint,o:string,h:string,
-    l:string,c:string,v:string,q:string,n:string,V:string,Q:string,x:boolean>>>"""
+# The candle is a map: its keys differ by case only (t/T, v/V, q/Q).
+KLINE_STREAM_SCHEMA = "struct<data:struct<e:string,k:map<string,string>>>"
 TRADE_STREAM_SCHEMA = "struct<data:struct<s:string,p:string,q:string,m:boolean,T:bigint>>"
 MEMPOOL_SCHEMA = """struct<txid:string,value:string,vin:array<struct<prevout:struct<scriptpubkey_address:string>>>,
     vout:array<struct<scriptpubkey_address:string>>>"""
@@ -112,12 +112,12 @@ def read_kline_stream(df: DataFrame, payload: str = "payload", exchange: str = "
     names = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v", "quote_volume": "q"}
     return e.select(
         F.lit(exchange).alias("exchange"), F.upper(k["s"]).alias("symbol"), k["i"].alias("interval_code"),
-        F.timestamp_millis(k["t"]).alias("open_time"), F.timestamp_millis(k["T"]).alias("close_time"),
+        millis_to_timestamp(k["t"]).alias("open_time"), millis_to_timestamp(k["T"]).alias("close_time"),
         *[k[s].try_cast("double").alias(n) for n, s in names.items()],
         k["n"].try_cast("int").alias("trades_count"),
         k["V"].try_cast("double").alias("taker_buy_base_volume"),
         k["Q"].try_cast("double").alias("taker_buy_quote_volume"),
-        k["x"].alias("is_closed"),
+        k["x"].try_cast("boolean").alias("is_closed"),
         *[c for c in ("arrived_at", "arrival_id") if c in df.columns],
     )
 
