@@ -138,7 +138,7 @@ def marketcap_score(v: Column | str) -> Column:
 
 
 def liquidity_score(v: Column | str) -> Column:
-    x = as_column(v)
+    x = number(v)
     return F.when(x <= 5000, F.lit(0.1)).when(x <= 15000, F.lit(0.4)).otherwise(normalise(x, 50_000))
 
 

@@ -10,6 +10,11 @@ every series into bounded blocks and stay exact:
   joins back on (series, block), which no hot series can skew;
 * a *row block* holds `block_rows` consecutive rows plus a halo of the rows just
   before and after it. Frames up to the halo size are computed per row block.
+
+Series keys and order columns are NOT NULL columns of the tables. The coarse
+block should be small enough that the densest series has at most some ten
+million rows in one, and wide enough that most blocks hold many rows; the block
+table is then a tiny fraction of the data.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from tickloom.operators.tokens import latest_per_key
 
 
 def rising_edges(df: DataFrame, key: str, ts: str, tie: str, high: Column, ttl_seconds: int | None = None,
-                 block_seconds: int = 86400) -> DataFrame:
+                 block_seconds: int = 3600) -> DataFrame:
     """Rows where `high` turns true for a key: true now, not true one row earlier.
 
     With `ttl_seconds` an earlier row older than that no longer counts. The

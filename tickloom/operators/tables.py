@@ -117,9 +117,19 @@ def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> N
 
 
 def touched_rows(spark: SparkSession, path: str, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Stored rows of the partitions a batch touches (dynamic partition pruning)."""
+    """Stored rows of the partitions a batch touches.
+
+    Only partition values are collected (the driver lists the partitions of a
+    table anyway); as literals they prune the scan before it starts.
+    """
     stored = spark.read.schema(batch.schema).parquet(path)
-    return stored.join(batch.select(*partition_by).distinct(), list(partition_by), "left_semi").select(*batch.columns)
+    touched = batch.select(*partition_by).distinct()
+    values = touched.agg(*[F.collect_set(c).alias(c) for c in partition_by]).first()
+    for c in partition_by:
+        stored = stored.where(F.col(c).isin(values[c]))
+    if len(partition_by) > 1:
+        stored = stored.join(touched, list(partition_by), "left_semi")
+    return stored.select(*batch.columns)
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition_by: Sequence[str],

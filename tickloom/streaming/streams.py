@@ -28,9 +28,17 @@ def _start(writer, trigger: str | None) -> StreamingQuery:
     return timed.start()
 
 
-def _each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None,
-                mode: str = "append") -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
+def _each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
+                trigger: str | None) -> StreamingQuery:
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Read once, used by several writes; lost blocks are read again from the source.
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
     return _start(writer, trigger)
 
 
