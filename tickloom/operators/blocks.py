@@ -36,6 +36,17 @@ def time_block(ts: Column | str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
+def block_seconds_for(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 5_000_000,
+                      narrowest: int = 60, widest: int = 28 * 86400) -> int:
+    """Coarse block width at which the densest hour of any series gives `target_rows` per block.
+
+    One aggregation over (keys, ts); only the resulting number comes back.
+    """
+    hourly = df.groupBy(*keys, time_block(ts, 3600).alias("_h")).count()
+    densest = hourly.agg(F.max("count")).first()[0] or 1
+    return int(min(widest, max(narrowest, target_rows * 3600 // densest)))
+
+
 def before(agg: Callable[[Column], Column]) -> Callable[[Column, WindowSpec], Column]:
     """Carry: `agg` over all earlier blocks of the series."""
     return lambda c, w: agg(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -90,11 +101,13 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
         "n_rows": whole(F.sum)(F.col("_cnt"), w),
     })
     every = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for c in means:
-        n, m, v = F.col(f"_c_{c}"), F.col(f"_m_{c}"), F.col(f"_v_{c}")
-        table = table.withColumn(f"{c}_mean", F.sum(m * n).over(every) / F.sum(n).over(every))
-        spread = v + (m - F.col(f"{c}_mean")) * (m - F.col(f"{c}_mean"))
-        table = table.withColumn(f"{c}_std", F.sqrt(F.sum(spread * n).over(every) / F.sum(n).over(every)))
+    if means:
+        rows = {c: F.col(f"_c_{c}") for c in means}
+        table = table.withColumns({
+            f"{c}_mean": F.sum(F.col(f"_m_{c}") * n).over(every) / F.sum(n).over(every) for c, n in rows.items()})
+        table = table.withColumns({
+            f"{c}_std": F.sqrt(F.sum((F.col(f"_v_{c}") + F.pow(F.col(f"_m_{c}") - F.col(f"{c}_mean"), 2)) * n).over(every)
+                               / F.sum(n).over(every)) for c, n in rows.items()})
     table = table.select(*keys, "_tb", "_start", "n_rows", *[f"{c}_{s}" for c in means for s in ("mean", "std")])
     joined = tagged.join(table, [*keys, "_tb"])
     pos = F.col("_start") + F.row_number().over(in_block(keys, order)) - 1
@@ -161,11 +174,11 @@ class SeriesBlocks:
             targets.append(F.when((offset >= self.block_rows - self.back) & more, home + 1))
         if self.ahead:
             targets.append(F.when((offset < self.ahead) & (home > 0), home - 1))
-        return (
-            placed.withColumn("_home", home)
-            .withColumn("_blk", F.explode(F.array_compact(F.array(*targets))))
-            .withColumn("_sub", F.floor(F.col("pos") / SUB_ROWS).cast("long"))
-        )
+        return placed.withColumns({
+            "_home": home,
+            "_blk": F.explode(F.array_compact(F.array(*targets))),
+            "_sub": F.floor(F.col("pos") / SUB_ROWS).cast("long"),
+        })
 
     @staticmethod
     def close(df: DataFrame) -> DataFrame:

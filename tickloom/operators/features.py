@@ -53,22 +53,23 @@ def feature_matrix(
     df = s.open(timeline.withColumnRenamed("spread_log", "spread"), means=["leg1_volume", "leg2_volume"], rows_of=spread)
     df = df.where(F.col("n_rows") >= min_history)
 
-    first = {f"mom_{h}": ts_ops.difference(s, "spread", k) for h, k in HORIZONS.items()}
+    # Two window stages over the same clustering and sort order; what the second
+    # one needs from the first is named here.
     df = df.withColumns({
         "spread_ret": ts_ops.difference(s, "spread"),
         "roll_mean": ts_ops.expanding_mean(s, "spread", 24),
         "roll_std": ts_ops.expanding_std(s, "spread", 24),
-        **first,
+        **{f"mom_{h}": ts_ops.difference(s, "spread", k) for h, k in HORIZONS.items()},
         **ts_ops.targets(s, "spread", HORIZONS, zero_fill),
+        **ts_ops.band_windows(s, "spread", 20),
+        **ts_ops.ema_inner(s, "spread", EMA_SPANS),
     })
-    df = df.withColumns({
+    df = s.close(df.withColumns({
         "acceleration": ts_ops.difference(s, "mom_1h"),
-        "rv_20": ts_ops.realised_vol(s, "spread_ret", 20),
-        "skew_20": ts_ops.rolling_skew(s, "spread_ret", 20),
-        "kurt_20": ts_ops.rolling_kurtosis(s, "spread_ret", 20),
-    })
-    df = ts_ops.with_bollinger(df, s, "spread", 20)
-    df = s.close(ts_ops.with_ema(df, s, "spread", EMA_SPANS))
+        **ts_ops.return_sums(s, "spread_ret", 20),
+        **ts_ops.bands(s, "spread", 20),
+        **ts_ops.ema(s, EMA_SPANS),
+    })).withColumns(ts_ops.return_moments(20))
 
     df = df.withColumns({
         "leg1_z": zscore("leg1_volume", "leg1_volume_mean", "leg1_volume_std"),

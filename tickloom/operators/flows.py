@@ -40,6 +40,4 @@ def lookup_zero(timeline: DataFrame, hourly: DataFrame, values: list[str], ts: s
     """Left lookup by exact hour; hours without a match get 0."""
     right = hourly.withColumnRenamed("ts_hour", ts)
     joined = timeline.join(right, ts, "left")
-    for v in values:
-        joined = joined.withColumn(v, F.coalesce(F.col(v).cast("double"), F.lit(0.0)))
-    return joined
+    return joined.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values})

@@ -57,6 +57,40 @@ def rolling_kurtosis(s: SeriesBlocks, value: str, n: int = 20) -> Column:
     return F.when(F.col(POS) < n - 1, F.lit(0.0)).otherwise(F.coalesce(corrected, F.lit(-3.0)))
 
 
+def return_sums(s: SeriesBlocks, value: str, n: int = 20) -> dict[str, Column]:
+    """Power sums and bounds of n rows, the window part of `return_moments`."""
+    frame, x = s.rows(-(n - 1), 0), F.col(value)
+    powers = {"s1": x, "s2": x * x, "s3": x * x * x, "s4": x * x * x * x}
+    return {
+        **{f"_{k}": F.sum(p).over(frame) for k, p in powers.items()},
+        "_low": F.min(x).over(frame), "_high": F.max(x).over(frame),
+    }
+
+
+def return_moments(n: int = 20, floor: float = 1e-6) -> dict[str, Column]:
+    """Realised volatility, skewness and excess kurtosis from `return_sums`.
+
+    Same results as `realised_vol`, `rolling_skew` and `rolling_kurtosis` for
+    values around zero, such as returns, at a fraction of the work per row; for
+    values far from zero relative to their spread use those three. Constant
+    windows are recognised by their bounds, not by a variance of exactly zero.
+    """
+    mean = F.col("_s1") / n
+    m2 = F.greatest(F.col("_s2") / n - mean * mean, F.lit(0.0))
+    m3 = F.col("_s3") / n - mean * F.col("_s2") * 3.0 / n + mean * mean * mean * 2.0
+    m4 = F.col("_s4") / n - mean * F.col("_s3") * 4.0 / n + mean * mean * F.col("_s2") * 6.0 / n \
+        - mean * mean * mean * mean * 3.0
+    full = F.col(POS) >= n - 1
+    varied = full & (F.col("_low") != F.col("_high")) & (m2 > 0)
+    skew = m3 / (m2 * F.sqrt(m2)) * (math.sqrt(n * (n - 1)) / (n - 2))
+    kurt = ((m4 / (m2 * m2) - 3.0) * (n + 1) + 6.0) * ((n - 1) / ((n - 2) * (n - 3)))
+    return {
+        f"rv_{n}": F.when(varied, F.sqrt(m2 * n / (n - 1))).otherwise(F.lit(floor)),
+        f"skew_{n}": F.when(varied, skew).otherwise(F.lit(0.0)),
+        f"kurt_{n}": F.when(varied, kurt).when(full, F.lit(-3.0)).otherwise(F.lit(0.0)),
+    }
+
+
 def ema_halo(spans: Sequence[int]) -> int:
     """Rows of history after which the weights are below double precision."""
     return SUB_ROWS * max(_ema_terms(span) for span in spans)
@@ -67,51 +101,66 @@ def _ema_terms(span: int) -> int:
     return max(1, math.ceil(math.log(1e-17) / (SUB_ROWS * math.log(decay))))
 
 
-def with_ema(df: DataFrame, s: SeriesBlocks, value: str, spans: dict[str, int]) -> DataFrame:
+def ema_inner(s: SeriesBlocks, value: str, spans: dict[str, int]) -> dict[str, Column]:
+    """Weighted prefix sums inside sub-blocks, the first stage of `ema`."""
+    k = F.col(POS) % SUB_ROWS
+    decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
+    return {
+        f"_in_{name}": F.sum(F.col(value) * F.pow(F.lit(q), -k)).over(s.sub_running()) * F.pow(F.lit(q), k)
+        for name, q in decay.items()}
+
+
+def ema(s: SeriesBlocks, spans: dict[str, int]) -> dict[str, Column]:
     """Exponential means with normalised weights: sum q^(t-i) x_i / sum q^(t-i).
 
-    Weighted prefix sums run inside 256-row sub-blocks, where q^-k cannot
-    overflow; the end values of the few sub-blocks before carry in the rest.
-    The frame must be opened with `back >= ema_halo(spans)`.
+    Weighted prefix sums run inside 256-row sub-blocks (`ema_inner`), where q^-k
+    cannot overflow; the end values of the few sub-blocks before carry in the
+    rest. The frame must be opened with `back >= ema_halo(spans)`.
     """
     k = F.col(POS) % SUB_ROWS
-    decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    for name, q in decay.items():
-        inner = F.sum(F.col(value) * F.pow(F.lit(q), -k)).over(s.sub_running())
-        df = df.withColumn(f"_in_{name}", inner * F.pow(F.lit(q), k))
-    for name, span in spans.items():
-        q = decay[name]
+
+    def mean(name: str, span: int) -> Column:
+        q = 1.0 - 2.0 / (span + 1.0)
         end = F.when(k == SUB_ROWS - 1, F.col(f"_in_{name}"))
         carry = F.lit(0.0)
         for j in range(1, _ema_terms(span) + 1):
             weight = q ** (SUB_ROWS * (j - 1))
             carry = carry + F.coalesce(F.sum(end).over(s.sub_before(j)), F.lit(0.0)) * weight
         total = (1.0 - F.pow(F.lit(q), F.col(POS) + 1)) / (1.0 - q)
-        df = df.withColumn(name, (F.col(f"_in_{name}") + carry * F.pow(F.lit(q), k + 1)) / total)
-    return df.drop(*[f"_in_{name}" for name in spans])
+        return (F.col(f"_in_{name}") + carry * F.pow(F.lit(q), k + 1)) / total
 
+    return {name: mean(name, span) for name, span in spans.items()}
+
+
+def with_ema(df: DataFrame, s: SeriesBlocks, value: str, spans: dict[str, int]) -> DataFrame:
+    return df.withColumns(ema_inner(s, value, spans)).withColumns(ema(s, spans))
+
+
+def band_windows(s: SeriesBlocks, value: str, n: int = 20, eps: float = 1e-6) -> dict[str, Column]:
+    """Mean and sample deviation of full windows, the first stage of `bands`."""
+    frame = s.rows(-(n - 1), 0)
+    std = full_window(F.stddev_samp(value).over(frame), n)
+    return {
+        "_mid": full_window(F.avg(value).over(frame), n),
+        "_std": F.when(std == 0, F.lit(eps)).otherwise(std),
+    }
 
-def with_bollinger(df: DataFrame, s: SeriesBlocks, value: str, n: int = 20, eps: float = 1e-6) -> DataFrame:
-    """Adds `bb_mid`, `bb_std`, `bb_z`; the head is filled back from the first full window.
+
+def bands(s: SeriesBlocks, value: str, n: int = 20, eps: float = 1e-6) -> dict[str, Column]:
+    """`bb_mid`, `bb_std`, `bb_z`; the head is filled back from the first full window.
 
     The head (pos < n - 1) and the first full window (pos = n - 1) lie in the
     same row block, so the fill is a frame over one bounded block.
     """
-    frame = s.rows(-(n - 1), 0)
-    std = full_window(F.stddev_samp(value).over(frame), n)
-    df = (
-        df.withColumn("_mid", full_window(F.avg(value).over(frame), n))
-        .withColumn("_std", F.when(std == 0, F.lit(eps)).otherwise(std))
-    )
     first = F.col(POS) == n - 1
-    df = df.withColumn("_mid0", F.max(F.when(first, F.col("_mid"))).over(s.block_all())) \
-        .withColumn("_std0", F.max(F.when(first, F.col("_std"))).over(s.block_all()))
-    return (
-        df.withColumn("bb_mid", F.coalesce("_mid", "_mid0", F.lit(0.0)))
-        .withColumn("bb_std", F.coalesce("_std", "_std0", F.lit(eps)))
-        .withColumn("bb_z", (F.col(value) - F.col("bb_mid")) / (F.col("bb_std") + F.lit(eps)))
-        .drop("_mid", "_std", "_mid0", "_std0")
-    )
+    head = {c: F.max(F.when(first, F.col(c))).over(s.block_all()) for c in ("_mid", "_std")}
+    mid = F.coalesce(F.col("_mid"), head["_mid"], F.lit(0.0))
+    std = F.coalesce(F.col("_std"), head["_std"], F.lit(eps))
+    return {"bb_mid": mid, "bb_std": std, "bb_z": (F.col(value) - mid) / (std + F.lit(eps))}
+
+
+def with_bollinger(df: DataFrame, s: SeriesBlocks, value: str, n: int = 20, eps: float = 1e-6) -> DataFrame:
+    return df.withColumns(band_windows(s, value, n, eps)).withColumns(bands(s, value, n, eps))
 
 
 def targets(s: SeriesBlocks, value: str, horizons: dict[str, int], zero_fill: bool = True) -> dict[str, Column]:

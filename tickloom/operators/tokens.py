@@ -41,7 +41,7 @@ def token_live(metrics: DataFrame, as_of: Column, short_seconds: int = 300, long
     )
 
 
-def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int = 30, block_seconds: int = 3600,
+def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int = 30, block_seconds: int = 86400,
             block_rows: int = 65536) -> DataFrame:
     """Largest relative price rise over `steps` rows of a token, over all history rows.
 
