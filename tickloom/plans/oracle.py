@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+def live_sql(long: str) -> str:
+    """Latest state per token with a one-day short window and the given long window."""
+    return f"""
+        SELECT token_id, arg_max(price, metric_time) AS price,
+               arg_max(liquidity, metric_time) AS marketcap,
+               coalesce(sum(volume) FILTER (WHERE metric_time >= mx - INTERVAL 1 DAY), 0) AS volume_5m,
+               count(*) FILTER (WHERE side = 'BUY' AND metric_time >= mx - INTERVAL 1 DAY) AS buys_5m,
+               count(*) FILTER (WHERE side <> 'BUY' AND metric_time >= mx - INTERVAL 1 DAY) AS sells_5m,
+               count(*) FILTER (WHERE side = 'BUY' AND metric_time >= mx - INTERVAL {long}) AS buys_1h,
+               count(*) FILTER (WHERE side <> 'BUY' AND metric_time >= mx - INTERVAL {long}) AS sells_1h,
+               arg_max(price, metric_time) / arg_max(price, metric_time)
+                   FILTER (WHERE metric_time <= mx - INTERVAL {long}) - 1 AS price_change_1h,
+               arg_max(pump_probability, metric_time) AS pump_probability,
+               (epoch_us(max(mx)) - epoch_us(min(metric_time))) / 1e6 AS age_seconds,
+               max(metric_time) AS updated_at
+        FROM (SELECT *, max(metric_time) OVER () AS mx FROM token_metrics) GROUP BY token_id"""
+
+
 VIEWS = {
     "trades": """
         SELECT event_id AS trade_id, upper(event_type) AS symbol, ts AS trade_time, value + 1.0 AS price,
@@ -34,20 +52,7 @@ VIEWS = {
                (event_id % 100) / 100.0 AS pump_probability
         FROM events""",
     "tokens": "SELECT c_custkey AS token_id, c_name AS mint, c_mktsegment AS symbol FROM customer",
-    "token_live": """
-        SELECT token_id, arg_max(price, metric_time) AS price,
-               arg_max(liquidity, metric_time) AS marketcap,
-               coalesce(sum(volume) FILTER (WHERE metric_time >= mx - INTERVAL 1 DAY), 0) AS volume_5m,
-               count(*) FILTER (WHERE side = 'BUY' AND metric_time >= mx - INTERVAL 1 DAY) AS buys_5m,
-               count(*) FILTER (WHERE side <> 'BUY' AND metric_time >= mx - INTERVAL 1 DAY) AS sells_5m,
-               count(*) FILTER (WHERE side = 'BUY' AND metric_time >= mx - INTERVAL 7 DAY) AS buys_1h,
-               count(*) FILTER (WHERE side <> 'BUY' AND metric_time >= mx - INTERVAL 7 DAY) AS sells_1h,
-               arg_max(price, metric_time) / arg_max(price, metric_time)
-                   FILTER (WHERE metric_time <= mx - INTERVAL 7 DAY) - 1 AS price_change_1h,
-               arg_max(pump_probability, metric_time) AS pump_probability,
-               (epoch_us(max(mx)) - epoch_us(min(metric_time))) / 1e6 AS age_seconds,
-               max(metric_time) AS updated_at
-        FROM (SELECT *, max(metric_time) OVER () AS mx FROM token_metrics) GROUP BY token_id""",
+    "token_live": live_sql("7 DAY"),
     "positions": """
         SELECT user_id % 20 AS portfolio_id, upper(event_type) AS symbol,
                CAST(sum(1 + user_id % 3) AS DOUBLE) AS quantity

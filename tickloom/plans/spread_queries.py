@@ -10,6 +10,7 @@ from tickloom.operators import candles as candle_ops
 from tickloom.operators import features as feature_ops
 from tickloom.operators import flows
 from tickloom.operators import timeseries as ts_ops
+from tickloom.operators.blocks import first_rows, time_block
 from tickloom.plans import views
 from tickloom.plans.oracle import sql
 
@@ -151,6 +152,13 @@ def unexpected_members(spark, d):
     return candle_ops.unexpected_members(candle_ops.inventory(views.candles(spark, d)), "1h", ["CLICK", "VIEW"])
 
 
+def oldest_rows(spark, d):
+    """First 100 bars of every symbol."""
+    c = views.candles(spark, d)
+    head = first_rows(c, ["exchange", "symbol"], ["open_time"], time_block("open_time", feature_ops.WEEK), 100)
+    return _select(head, ["symbol", "open_time", "pos", "n_rows"], ["close"])
+
+
 def distinct_members(spark, d):
     return views.candles(spark, d).select("symbol").distinct()
 
@@ -268,5 +276,9 @@ QUERIES = {
     "unexpected_members": (unexpected_members, sql(
         "SELECT symbol, interval_code, count(*) AS cnt FROM candles "
         "WHERE interval_code = '1h' AND symbol NOT IN ('CLICK', 'VIEW') GROUP BY ALL", "candles")),
+    "oldest_rows": (oldest_rows, sql(
+        "SELECT symbol, open_time, rn - 1 AS pos, n AS n_rows, round(close, 6) + 0.0 AS close FROM (SELECT *, row_number() OVER"
+        " (PARTITION BY symbol ORDER BY open_time) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM candles)"
+        " WHERE rn <= 100", "candles")),
     "distinct_members": (distinct_members, sql("SELECT DISTINCT symbol FROM candles", "candles")),
 }

@@ -10,7 +10,7 @@ from tickloom.functions.text import short_id
 from tickloom.operators import edges, reports
 from tickloom.operators import tokens as ops
 from tickloom.plans import views
-from tickloom.plans.oracle import sql
+from tickloom.plans.oracle import live_sql, sql
 
 DAY = 86400
 LIVE = ["price", "marketcap", "volume_5m", "price_change_1h", "pump_probability", "age_seconds"]
@@ -234,16 +234,11 @@ def rising_edges(spark, d):
         .select("token_id", "metric_id", "metric_time", "pump_probability")
 
 
-DASH_SQL = sql("SELECT token_id, " + _r({
-    "price": "price", "marketcap": "marketcap", "volume_5m": "volume_5m", "buys_5m": "buys_5m", "buys_1h": "buys_1h",
-    "pump_probability": "pump_probability", "change_pct": "change_pct", "age_minutes": "age_seconds / 60",
-    "age_days": "age_seconds / 86400"}, 5) + " FROM dash", "token_live", ctes={"dash": """
-        SELECT *, CASE WHEN coalesce(price_change_1h, 0) > 2 THEN coalesce(price_change_1h, 0)
-                       ELSE coalesce(price_change_1h, 0) * 100 END AS change_pct FROM token_live
-        WHERE marketcap >= 20000 AND buys_1h >= 1 AND age_seconds / 86400 <= 60 AND pump_probability > 0
-          AND CASE WHEN coalesce(price_change_1h, 0) > 2 THEN coalesce(price_change_1h, 0)
-                   ELSE coalesce(price_change_1h, 0) * 100 END >= -90"""})
-DASH_CTE = DASH_SQL.split("dash AS (", 1)[1].rsplit(") SELECT", 1)[0]
+CHANGE_PCT = ("CASE WHEN coalesce(price_change_1h, 0) > 2 THEN coalesce(price_change_1h, 0)"
+              " ELSE coalesce(price_change_1h, 0) * 100 END")
+DASH_CTES = {"dash": f"""
+    SELECT *, {CHANGE_PCT} AS change_pct FROM token_live WHERE marketcap >= 20000 AND buys_1h >= 1
+       AND age_seconds / 86400 <= 60 AND pump_probability > 0 AND {CHANGE_PCT} >= -90"""}
 
 QUERIES = {
     "token_live": (token_live, sql(
@@ -271,11 +266,14 @@ QUERIES = {
     "ranked_nulls": (ranked_nulls, sql(
         "SELECT token_id, round(price_change_1h, 6) + 0.0 AS price_change_1h FROM token_live"
         " ORDER BY token_live.price_change_1h DESC NULLS FIRST, token_id LIMIT 200", "token_live")),
-    "dashboard": (dashboard, DASH_SQL),
+    "dashboard": (dashboard, sql("SELECT token_id, " + _r({
+        **_same(["price", "marketcap", "volume_5m", "buys_5m", "buys_1h", "pump_probability", "change_pct"]),
+        "age_minutes": "age_seconds / 60", "age_days": "age_seconds / 86400"}, 5) + " FROM dash",
+        "token_live", ctes=DASH_CTES)),
     "trend_top20": (trend_top20, sql(
         "SELECT token_id, round(s, 5) + 0.0 AS trend_score FROM (SELECT *, pump_probability * 100 + change_pct * 0.5"
         " + (buys_5m - sells_5m) * 0.5 + volume_5m / 1000 AS s FROM dash) ORDER BY s DESC, token_id LIMIT 20",
-        "token_live", ctes={"dash": DASH_CTE})),
+        "token_live", ctes=DASH_CTES)),
     "alert_rules": (alert_rules, sql(
         "SELECT token_id, updated_at, " + _r({
             "price": "price", "marketcap": "marketcap", "buys_5m": "buys_5m", "volume_5m": "volume_5m",
@@ -288,9 +286,7 @@ QUERIES = {
     "token_trends": (token_trends, sql(
         "SELECT token_id, round(s, 5) + 0.0 AS score FROM (SELECT token_id, pump_probability * 100"
         " + coalesce(price_change_1h, 0) * 50 + (buys_5m - sells_5m) * 0.5 + volume_5m / 1000 AS s FROM trend_live)"
-        " ORDER BY s DESC NULLS FIRST, token_id LIMIT 200", "token_live",
-        ctes={"trend_live": sql("SELECT * FROM token_live", "token_live").split("token_live AS (", 1)[1]
-              .rsplit(") SELECT", 1)[0].replace("7 DAY", "6 HOUR")})),
+        " ORDER BY s DESC NULLS FIRST, token_id LIMIT 200", "token_metrics", ctes={"trend_live": live_sql("6 HOUR")})),
     "token_hourly": (token_hourly, sql(
         "SELECT token_id, date_trunc('hour', metric_time) AS hour_bucket, " + _r({
             "open": "arg_min(price, metric_time)", "high": "max(price)", "low": "min(price)",

@@ -14,8 +14,12 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library defaults; `conf` keys use `__` for dots."""
@@ -47,8 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="tickloom-"))
     return root
 
 
