@@ -6,6 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles, tables
+from tickloom.operators.blocks import block_seconds_for, time_block, with_position
+from tickloom.operators.tokens import merge_feeds
 from tickloom.sources import payloads
 from tickloom.sources import tables as table_sources
 
@@ -66,7 +68,8 @@ def test_get_or_create(spark):
     dim = spark.createDataFrame([(7, "B")], "id long, symbol string")
     names = spark.createDataFrame([("A",), ("B",), ("C",), ("A",), ("",), ("AB",)], "symbol string")
     got = tables.get_or_create(dim, names)
-    assert rows(got, "id", "symbol") == {(7, "B"), (8, "A"), (9, "AB"), (10, "C")}
+    keys = dict(rows(got, "symbol", "id"))
+    assert keys["B"] == 7 and sorted(keys.values()) == [7, 8, 9, 10] and set(keys) == {"A", "AB", "B", "C"}
     assert rows(tables.get_or_create(got, names), "id", "symbol") == rows(got, "id", "symbol")
     empty = tables.get_or_create(dim.where("false"), names.where("symbol = 'C'"))
     assert rows(empty, "id", "symbol") == {(1, "C")}
@@ -132,6 +135,31 @@ def test_empty_dex_answers(spark):
     assert (r["symbol"], r["marketcap"], r["liquidityusd"], r["base_token"]) == ("c", 12.0, 0.0, "c")
 
 
+def test_trending_feeds_merge(spark):
+    one = spark.createDataFrame([('{"tokens":[{"symbol":"A","market_cap":5,"holder_count":3,"score":1}]}',)], "payload string")
+    two = spark.createDataFrame([('{"data":[{"symbol":"A","marketCap":7,"score":2},{"symbol":"","score":2}]}',)], "payload string")
+    three = spark.createDataFrame([('{"pairs":[{"baseToken":{"symbol":"B"},"fdv":9,"txns":{"h1":{"buys":4}}}]}',)], "payload string")
+    merged = merge_feeds([
+        payloads.read_trending(one).select("symbol", "marketcap", "liquidityusd", "volumeusd", "holders", "pumpfun_score"),
+        payloads.read_hot_pairs(two), payloads.read_dex_trending(three)])
+    got = {r["symbol"]: r.asDict() for r in merged.collect()}
+    assert set(got) == {"A", "B"}
+    assert (got["A"]["marketcap"], got["A"]["holders"], got["A"]["dex_score"], got["A"]["bitquery_score"]) == (7, 3, 2, None)
+    assert (got["B"]["marketcap"], got["B"]["holders"], got["B"]["bitquery_score"]) == (9, None, 4)
+
+
+def test_rows_without_time_come_first(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", T0, 2), ("a", T0 + dt.timedelta(days=3), 3)], "k string, ts timestamp, n int")
+    got = with_position(df, ["k"], ["ts"], time_block("ts", 86400))
+    assert rows(got, "n", "pos", "n_rows") == {(1, 0, 3), (2, 1, 3), (3, 2, 3)}
+
+
+def test_block_width_follows_the_densest_hour(spark):
+    df = spark.range(7200).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    assert block_seconds_for(df, ["k"], "ts", target_rows=36_000) == 36_000
+    assert block_seconds_for(df, ["k"], "ts", target_rows=1) == 60
+
+
 def test_slices_cover_the_span(spark):
     w = spark.createDataFrame([("A", "15m", T0, T0 + dt.timedelta(minutes=15 * 2500)), ("B", "15m", T0, T0 - dt.timedelta(minutes=1)),
                                ("C", "1h", T0, T0)], "symbol string, interval_code string, start_at timestamp, end_at timestamp")

@@ -11,8 +11,7 @@ every series into bounded blocks and stay exact:
 * a *row block* holds `block_rows` consecutive rows plus a halo of the rows just
   before and after it. Frames up to the halo size are computed per row block.
 
-Series keys and order columns are NOT NULL columns of the tables. The coarse
-block should be small enough that the densest series has at most some ten
+Series keys are NOT NULL columns of the tables. The coarse block should be small enough that the densest series has at most some ten
 million rows in one, and wide enough that most blocks hold many rows; the block
 table is then a tiny fraction of the data.
 """
@@ -31,9 +30,10 @@ SUB_ROWS = 256  # rows per sub-block; prefix weights q^-k stay small inside one
 
 
 def time_block(ts: Column | str, seconds: int) -> Column:
-    """Coarse block: time bucket of the given width."""
+    """Coarse block: time bucket of the given width; rows without a time come first."""
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(seconds)).cast("long")
+    bucket = F.floor(F.unix_seconds(col.cast("timestamp")) / F.lit(seconds)).cast("long")
+    return F.coalesce(bucket, F.lit(-(2**62)))
 
 
 def block_seconds_for(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 5_000_000,
@@ -163,8 +163,11 @@ class SeriesBlocks:
         if self.block_rows % SUB_ROWS or self.block_rows < max(self.back, self.ahead):
             raise ValueError("block_rows must be a multiple of 256 and at least the halo")
 
-    def open(self, df: DataFrame, means: Sequence[str] = (), rows_of: DataFrame | None = None) -> DataFrame:
-        placed = with_position(df, self.keys, self.order, self.block, means, rows_of)
+    def open(self, df: DataFrame, means: Sequence[str] = (), rows_of: DataFrame | None = None,
+             placed: bool = False) -> DataFrame:
+        """`placed` takes `pos` and `n_rows` from the frame instead of computing them."""
+        if not placed:
+            df = with_position(df, self.keys, self.order, self.block, means, rows_of)
         size = F.lit(self.block_rows)
         home = F.floor(F.col("pos") / size).cast("long")
         offset = F.col("pos") % size
@@ -174,7 +177,7 @@ class SeriesBlocks:
             targets.append(F.when((offset >= self.block_rows - self.back) & more, home + 1))
         if self.ahead:
             targets.append(F.when((offset < self.ahead) & (home > 0), home - 1))
-        return placed.withColumns({
+        return df.withColumns({
             "_home": home,
             "_blk": F.explode(F.array_compact(F.array(*targets))),
             "_sub": F.floor(F.col("pos") / SUB_ROWS).cast("long"),

@@ -13,8 +13,12 @@ CANDLE_KEY = ["exchange", "symbol", "interval_code", "open_time"]
 
 
 def candles_from_trades(trades: DataFrame, bucket: Column, interval_code: str, exchange: str = "synthetic",
-                        order: str = "trade_time") -> DataFrame:
-    """OHLCV per (symbol, bucket). Partial aggregation carries first/last price."""
+                        order: str | Column = "trade_time") -> DataFrame:
+    """OHLCV per (symbol, bucket). Partial aggregation carries first/last price.
+
+    `order` should be unique per symbol (a trade number, or a struct of time and
+    number), so that first and last do not depend on the task layout.
+    """
     return (
         trades.groupBy("symbol", bucket.alias("open_time"))
         .agg(

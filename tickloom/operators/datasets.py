@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.math import clamp, zscore
@@ -17,22 +17,23 @@ def latest_window(spread: DataFrame, rows: int = 168, eps: float = 1e-8) -> Data
     """Newest rows of each series with volume z-scores over just those rows."""
     s = spread_blocks()
     tail = last_rows(spread, s.keys, s.order, s.block, rows)
-    stats = tail.groupBy(*s.keys).agg(*[
-        f(c).alias(f"{c}_{n}") for c in ("leg1_volume", "leg2_volume") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    return tail.join(stats, list(s.keys)).select(
-        *s.keys, "ts", "spread_log",
-        zscore("leg1_volume", "leg1_volume_mean", "leg1_volume_std", eps).alias("leg1_z"),
-        zscore("leg2_volume", "leg2_volume_mean", "leg2_volume_std", eps).alias("leg2_z"))
+    series = Window.partitionBy(*s.keys)  # at most `rows` rows each
+
+    def z(volume: str) -> Column:
+        return zscore(volume, F.avg(volume).over(series), F.stddev_pop(volume).over(series), eps)
+
+    return tail.select(*s.keys, "ts", "spread_log", z("leg1_volume").alias("leg1_z"), z("leg2_volume").alias("leg2_z"))
 
 
 def window_dataset(matrix: DataFrame, features: Sequence[str], labels: Sequence[str], rows: int = 168, gap: int = 24,
                    block_rows: int = 65536) -> DataFrame:
     """Sequence samples: the `rows` feature rows before a row, with that row's labels.
 
-    Samples whose labels would need rows past the end (`gap`) are left out.
+    Samples whose labels would need rows past the end (`gap`) are left out. `pos`
+    and `n_rows` of a whole feature matrix are used as they are.
     """
     s = SeriesBlocks(SERIES_KEYS, ("ts",), spread_blocks().block, back=rows, block_rows=block_rows)
-    df = s.open(matrix.drop("pos", "n_rows"))
+    df = s.open(matrix, placed={"pos", "n_rows"} <= set(matrix.columns))
     df = df.withColumn("window", F.collect_list(F.struct(*features)).over(s.rows(-rows, -1)))
     kept = s.close(df).where((F.col("pos") >= rows) & (F.col("pos") < F.col("n_rows") - gap))
     return kept.select(*s.keys, "ts", "pos", "window", *labels)

@@ -39,9 +39,9 @@ def portfolio_values_ordinal(positions: DataFrame, closes: DataFrame) -> DataFra
         F.min("symbol").alias("lead"),
         F.min_by("ts", "symbol").alias("ts"),
     )
-    reference = rows.where(F.col("pos") == 0).select("portfolio_id", F.col("lead").alias("reference"))
+    reference = F.min(F.when(F.col("pos") == 0, F.col("lead"))).over(Window.partitionBy("portfolio_id"))
     return (
-        rows.join(reference, "portfolio_id")
+        rows.withColumn("reference", reference)
         .where((F.col("lead") == F.col("reference")) & (F.col("value") > 0))
         .select("portfolio_id", "ts", "value")
     )
@@ -124,13 +124,14 @@ def portfolio_metrics(positions: DataFrame, closes: DataFrame, align: str = "tim
     return value_metrics(values, **kw).join(concentration(positions, closes), "portfolio_id")
 
 
-def portfolio_detail(portfolios: DataFrame, positions: DataFrame, page_rows: int = 1000) -> DataFrame:
+def portfolio_detail(portfolios: DataFrame, positions: DataFrame, page_rows: int = 1000, prefix: int = 3) -> DataFrame:
     """Portfolio rows with their positions nested, ordered by symbol.
 
     A portfolio gets one row per `page_rows` positions, so no array grows
     without bound; portfolios without positions keep one row and an empty array.
+    `prefix` letters of the symbol cut a large portfolio into blocks.
     """
-    placed = with_position(positions, ["portfolio_id"], ["symbol"], F.substring("symbol", 1, 2))
+    placed = with_position(positions, ["portfolio_id"], ["symbol"], F.substring("symbol", 1, prefix))
     pages = placed.groupBy("portfolio_id", F.floor(F.col("pos") / page_rows).alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("symbol", "quantity"))).alias("positions"))
     return portfolios.join(pages, "portfolio_id", "left").withColumns({

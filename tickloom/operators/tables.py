@@ -86,15 +86,14 @@ def toggle(df: DataFrame, flag: str, hit: Column) -> DataFrame:
     return df.withColumn(flag, F.when(hit, ~F.col(flag)).otherwise(F.col(flag)))
 
 
-def get_or_create(dimension: DataFrame, names: DataFrame, name: str = "symbol", key: str = "id",
-                  prefix: int = 2) -> DataFrame:
+def get_or_create(dimension: DataFrame, names: DataFrame, name: str = "symbol", key: str = "id") -> DataFrame:
     """Dimension with a key for every name; new names are numbered after the largest key.
 
-    Numbers follow the name order. They come from counts per name prefix, not
-    from one global sort.
+    Numbers come from counts of 4,096 hash blocks (by name inside a block), not
+    from one global sort; they are dense and the same on every run.
     """
     fresh = names.select(name).where(F.length(name) > 0).distinct().join(dimension.select(name), name, "left_anti")
-    placed = with_position(fresh, [], [name], F.substring(name, 1, prefix))
+    placed = with_position(fresh, [], [name], F.substring(F.md5(F.col(name).cast("binary")), 1, 3))
     top = dimension.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     return dimension.unionByName(placed.select((top + F.col("pos") + 1).alias(key), name), allowMissingColumns=True)
 

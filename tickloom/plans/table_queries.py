@@ -371,7 +371,8 @@ def append_signals(spark, d):
     """Signal rows appended with missing fields as NULL, after the domain check."""
     t = views.live(spark, d)
     rows = t.select(F.col("token_id").cast("string").alias("symbol"),
-                    F.when(F.col("price_change_1h") > 0, "BUY").when(F.col("price_change_1h") < 0, "SELL").otherwise("WAIT").alias("direction"),
+                    F.when(F.col("price_change_1h") > 0, "BUY").when(F.col("price_change_1h") < 0, "SELL")
+                    .otherwise("WAIT").alias("direction"),
                     F.col("pump_probability").alias("confidence"), F.col("marketcap"), F.col("updated_at").alias("created_at"))
     good, bad = contracts.split_valid(rows, contracts.signal_is_valid())
     path = _path(spark, "signals")
@@ -520,7 +521,8 @@ QUERIES = {
     "get_or_create": (get_or_create, sql(
         "SELECT id, symbol, left(symbol, length(symbol) - 4) AS base_asset, right(symbol, 4) AS quote_asset FROM ("
         "SELECT p_partkey AS id, symbol FROM names WHERE p_partkey % 3 = 0 UNION ALL"
-        " SELECT (SELECT max(p_partkey) FROM names WHERE p_partkey % 3 = 0) + row_number() OVER (ORDER BY symbol), symbol"
+        " SELECT (SELECT max(p_partkey) FROM names WHERE p_partkey % 3 = 0) + row_number() OVER (ORDER BY left(md5(symbol), 3), symbol),"
+        " symbol"
         " FROM names WHERE p_partkey % 3 <> 0)",
         ctes={"names": "SELECT upper(p_brand || '-' || p_partkey) AS symbol, p_partkey FROM part"})),
     "seed_timeframes": (seed_timeframes, sql(
@@ -532,8 +534,8 @@ QUERIES = {
         " ELSE 'HOLD' END AS direction, updated_at AS created_at, " + _r({
             "confidence": "pump_probability", "marketcap": "marketcap"}) + ", true AS alpha_missing FROM token_live", "token_live")),
     "resume_points": (resume_points, sql(
-        "SELECT w.symbol, w.interval_code, coalesce(l.t, w.listed_at, TIMESTAMP '2019-01-01') AS start_at, l.t IS NOT NULL AS resumed,"
-        " coalesce(epoch_ms(l.t), -1) AS last_open_ms FROM (SELECT DISTINCT symbol, interval_code, NULL::TIMESTAMP AS listed_at FROM candles"
+        "SELECT w.symbol, w.interval_code, coalesce(l.t, w.listed_at, TIMESTAMP '2019-01-01') AS start_at,"
+        " l.t IS NOT NULL AS resumed, coalesce(epoch_ms(l.t), -1) AS last_open_ms FROM (SELECT DISTINCT symbol, interval_code, NULL::TIMESTAMP AS listed_at FROM candles"
         " UNION ALL SELECT upper(n_name), '1h', CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2023-06-01' END FROM nation) w"
         " LEFT JOIN (SELECT symbol, interval_code, max(open_time) AS t FROM candles GROUP BY ALL) l USING (symbol, interval_code)",
         "candles")),

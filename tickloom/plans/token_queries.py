@@ -251,7 +251,8 @@ QUERIES = {
           " FROM token_metrics) r JOIN tokens t USING (token_id) WHERE r.price_before IS NOT NULL)"
           " ORDER BY pct_gain DESC NULLS FIRST, token_id, metric_id LIMIT 30", "token_metrics", "tokens")),
     "liquidity_risk": (liquidity_risk, sql(
-        "SELECT * REPLACE (round(risk_score, 6) + 0.0 AS risk_score) FROM (SELECT t.token_id, t.mint, t.symbol, stddev_samp(m.liquidity) / nullif(avg(m.liquidity), 0) AS risk_score,"
+        "SELECT * REPLACE (round(risk_score, 6) + 0.0 AS risk_score) FROM (SELECT t.token_id, t.mint, t.symbol,"
+        " stddev_samp(m.liquidity) / nullif(avg(m.liquidity), 0) AS risk_score,"
         " count(*) AS samples FROM token_metrics m JOIN tokens t USING (token_id) WHERE m.liquidity IS NOT NULL"
         " GROUP BY ALL HAVING count(*) > 10 ORDER BY risk_score DESC NULLS FIRST, token_id LIMIT 50)",
         "token_metrics", "tokens")),
@@ -324,7 +325,8 @@ QUERIES = {
         " FROM a FULL JOIN b USING (symbol) FULL JOIN e USING (symbol)",
         ctes={"a": "SELECT 'T' || c_custkey AS symbol, c_acctbal AS marketcap, c_nationkey::DOUBLE AS holders FROM customer WHERE c_custkey % 97 <> 0",
               "b": "SELECT 'T' || (s_suppkey * 2) AS symbol, s_acctbal AS marketcap, 0.0::DOUBLE AS dex_score FROM supplier",
-              "e": "SELECT 'T' || (p_partkey * 3) AS symbol, p_retailprice AS volumeusd, p_size::DOUBLE AS dex_score FROM part"})),
+              "e": "SELECT 'T' || (p_partkey * 3) AS symbol, p_retailprice AS volumeusd, p_size::DOUBLE AS dex_score"
+                   " FROM part"})),
     "token_lookup": (token_lookup, sql(
         "SELECT token_id, coalesce(f.marketcap, 0) AS marketcap, f.venue FROM tokens LEFT JOIN (SELECT o_custkey AS token_id,"
         " arg_min(o_totalprice, o_orderkey) AS marketcap, arg_min(o_orderpriority, o_orderkey) AS venue FROM orders"
