@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import edges
 from tickloom.streaming import streams
+from tickloom.streaming.keyed import changed_rows_keyed
 from tickloom.streaming.state import SlotState, read_output
 
 T0 = dt.datetime(2024, 1, 1)
@@ -114,6 +115,22 @@ def test_changes_ignore_update_time(spark, landing):
     assert fired(spark, land) == [1, 3, 4, 5]
 
 
+def test_keyed_changes_equal_table_changes(spark, landing):
+    land = landing()
+    hot = [tick(1, i, 0.5, price=float(i % 3)) for i in range(10, 400)]
+    for rows in ([tick(1, 1, 0.9)], [tick(1, 2, 0.9), tick(3, 3, None)], hot, [tick(1, 500, 0.5, price=0.0), tick(2, 501, 0.1)],
+                 [tick(1, 502, None, price=2.0)]):
+        land.add(rows)
+    fields = ["token_id", "price", "pump_probability"]
+    streams.start_changes(land.stream(), land.path("out"), land.path("state"), land.path("check"), fields).awaitTermination()
+    changed = changed_rows_keyed(land.stream(), fields)
+    changed.writeStream.format("parquet").option("path", land.path("keyed")).option("checkpointLocation", land.path("check2")) \
+        .trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(changed.schema).parquet(land.path("keyed"))
+    assert sorted(r["metric_id"] for r in got.collect()) == fired(spark, land) == [1, 3, 399, 501, 502]
+    assert got.where("metric_id = 3 and pump_probability is null").count() == 1
+
+
 def test_live_snapshot_replays_for_late_readers(spark, landing):
     land = landing()
     for rows in BATCHES:

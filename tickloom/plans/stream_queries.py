@@ -13,6 +13,7 @@ from tickloom.plans.oracle import sql
 from tickloom.plans.table_queries import TRADE_SQL, kline_messages, trade_messages
 from tickloom.session import prepare, shared_dir
 from tickloom.streaming import streams
+from tickloom.streaming.keyed import changed_rows_keyed
 from tickloom.streaming.state import read_output
 
 SLICES = 3  # ten days each
@@ -109,11 +110,28 @@ def stream_changed_alerts(spark, d):
                                                                ("price", "marketcap", "pump_probability")])
 
 
+SNAPSHOT_FIELDS = ["token_id", "price", "pump_probability", "marketcap"]
+
+
+def _coarse_ticks(spark, d):
+    t = ticks(sliced_stream(spark, d)).withColumn("price", F.round(F.col("price") / 50))
+    return t.withColumns({"marketcap": F.col("price") * 2, "pump_probability": F.round("pump_probability")})
+
+
+def stream_keyed_changes(spark, d):
+    """Snapshot changes with the keyed state store."""
+    out, _, check = _folders(spark)
+    changed = changed_rows_keyed(_coarse_ticks(spark, d), SNAPSHOT_FIELDS)
+    writer = changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+    _drain(writer.trigger(availableNow=True).start())
+    back = spark.read.schema(changed.schema).parquet(out)
+    return back.select("token_id", "metric_id", "price", "pump_probability")
+
+
 def stream_snapshot_changes(spark, d):
     out, state, check = _folders(spark)
-    t = ticks(sliced_stream(spark, d)).withColumn("price", F.round(F.col("price") / 50)) \
-        .withColumn("marketcap", F.col("price") * 2).withColumn("pump_probability", F.round("pump_probability"))
-    _drain(streams.start_changes(t, out, state, check, ["token_id", "price", "pump_probability", "marketcap"]))
+    t = _coarse_ticks(spark, d)
+    _drain(streams.start_changes(t, out, state, check, SNAPSHOT_FIELDS))
     return read_output(spark, out, t.schema).select("batch_id", "token_id", "metric_id", "price", "pump_probability")
 
 
@@ -134,6 +152,10 @@ SNAPSHOT = """
     SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY token_id, batch_id ORDER BY metric_time DESC) = 1"""
 SNAP_CTES = {"ticks": TICKS, "snap": SNAPSHOT}
 
+CHANGED = """token_id, metric_id, a AS price, b AS pump_probability FROM (
+    SELECT *, lag((a, b)) OVER (PARTITION BY token_id ORDER BY batch_id) AS q FROM (
+        SELECT *, round(price / 50) AS a, round(pump_probability) AS b FROM snap)) WHERE q IS NULL OR (a, b) <> q"""
+
 QUERIES = {
     "stream_hourly_flow": (stream_hourly_flow, sql(
         "SELECT ts_hour, symbol, side, round(n, 3) + 0.0 AS notional FROM (SELECT date_trunc('hour', trade_time) AS ts_hour,"
@@ -163,10 +185,9 @@ QUERIES = {
         " lag((price, marketcap, buys_5m, volume_5m, price_change_1h, pump_probability)) OVER"
         " (PARTITION BY token_id ORDER BY batch_id) AS q FROM snap WHERE (buys_5m >= 20 OR price_change_1h >= 5"
         " OR pump_probability >= 0.6) AND marketcap >= 3000 AND volume_5m >= 50) WHERE q IS NULL OR p <> q", ctes=SNAP_CTES)),
-    "stream_snapshot_changes": (stream_snapshot_changes, sql(
-        "SELECT CAST(batch_id AS BIGINT) AS batch_id, token_id, metric_id, a AS price, b AS pump_probability FROM ("
-        "SELECT *, lag((a, b)) OVER (PARTITION BY token_id ORDER BY batch_id) AS q FROM (SELECT *, round(price / 50) AS a,"
-        " round(pump_probability) AS b FROM snap)) WHERE q IS NULL OR (a, b) <> q", ctes=SNAP_CTES)),
+    "stream_snapshot_changes": (stream_snapshot_changes, sql(f"SELECT CAST(batch_id AS BIGINT) AS batch_id, {CHANGED}",
+                                                             ctes=SNAP_CTES)),
+    "stream_keyed_changes": (stream_keyed_changes, sql(f"SELECT {CHANGED}", ctes=SNAP_CTES)),
     "stream_live_snapshot": (stream_live_snapshot, sql(
         "SELECT token_id, metric_id, metric_time AS updated_at, round(price, 6) + 0.0 AS price, pump_probability FROM ticks"
         " QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY metric_time DESC) = 1", ctes={"ticks": TICKS})),

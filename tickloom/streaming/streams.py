@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions import scores
+from tickloom.functions.times import seconds_interval
 from tickloom.operators import edges, tables
 from tickloom.operators.tokens import alerts, latest_per_key
 from tickloom.sources.payloads import read_agg_trades, read_kline_stream
@@ -104,7 +105,11 @@ def start_rising_edges(ticks: DataFrame, out: str, state: str, checkpoint: str,
         together = old.unionByName(batch)
         fired = edges.rising_edges(together, key, ts, tie, high, ttl_seconds).where("_new").drop("_new")
         save_batch(fired, out, batch_id)
-        slots.save(batch_id, latest_per_key(together, [key], [ts, tie]))
+        last = latest_per_key(together, [key], [ts, tie])
+        if ttl_seconds is not None:  # rows past their time cannot count any more
+            edge = together.agg(F.max(ts)).scalar() - seconds_interval(ttl_seconds)
+            last = last.where(F.col(ts) >= edge)
+        slots.save(batch_id, last)
 
     return _each_batch(rows, handle, checkpoint, trigger)
 
