@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scores
 from tickloom.functions.math import rounded
+from tickloom.operators.tokens import alerts
 from tickloom.plans import views
 from tickloom.plans.oracle import sql
 from tickloom.plans.table_queries import TRADE_SQL, kline_messages, trade_messages
@@ -31,15 +32,19 @@ def event_stream(spark, d):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def sliced_stream(spark, d):
-    """The events landed in three folders by date, one micro-batch each, in time order."""
+def _feed_slices(spark, d, start):
+    """Land the events ten days at a time; `start(stream)` drains each landing as one micro-batch.
+
+    The query is stopped and resumed from its checkpoint between landings.
+    """
     e = views.events(spark, d)
     root = f"{shared_dir(spark)}/landing/{uuid.uuid4().hex}"
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(SLICES - 1))
+    query = None
     for i in range(SLICES):
-        part = F.least((F.dayofmonth("ts") - 1).cast("int") / 10, F.lit(SLICES - 1)).cast("int")
-        e.where(part == i).coalesce(1).write.mode("append").parquet(root)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(root)
-    return stream
+        e.where(part == i).write.mode("append").parquet(root)
+        query = _drain(start(spark.readStream.schema(e.schema).parquet(root)))
+    return query
 
 
 def ticks(events):
@@ -75,8 +80,7 @@ def stream_large_trades(spark, d):
 
 def stream_candle_upsert(spark, d):
     out, _, check = _folders(spark)
-    messages = kline_messages(views.trades_from(sliced_stream(spark, d)))
-    _drain(streams.start_candle_upsert(messages, out, check))
+    _feed_slices(spark, d, lambda e: streams.start_candle_upsert(kline_messages(views.trades_from(e)), out, check))
     return spark.read.parquet(out).select("exchange", "symbol", "open_time", "arrival_id", "is_closed",
                                           rounded("close").alias("close"), rounded("volume").alias("volume"))
 
@@ -84,18 +88,22 @@ def stream_candle_upsert(spark, d):
 HIGH = 0.85
 
 
+def _is_high():
+    return F.col("pump_probability") >= HIGH
+
+
 def stream_rising_edges(spark, d):
     out, state, check = _folders(spark)
-    t = ticks(sliced_stream(spark, d))
-    _drain(streams.start_rising_edges(t, out, state, check, F.col("pump_probability") >= HIGH, ttl_seconds=4 * 86400))
-    return read_output(spark, out, t.schema).select("token_id", "metric_id", "metric_time", "pump_probability")
+    _feed_slices(spark, d, lambda e: streams.start_rising_edges(ticks(e), out, state, check, _is_high(), ttl_seconds=4 * 86400))
+    return read_output(spark, out, ticks(views.events(spark, d)).schema) \
+        .select("token_id", "metric_id", "metric_time", "pump_probability")
 
 
 def stream_snapshot_edges(spark, d):
     out, state, check = _folders(spark)
-    t = ticks(sliced_stream(spark, d))
-    _drain(streams.start_snapshot_edges(t, out, state, check, F.col("pump_probability") >= HIGH))
-    return read_output(spark, out, t.schema).select("batch_id", "token_id", "metric_id", "pump_probability")
+    _feed_slices(spark, d, lambda e: streams.start_snapshot_edges(ticks(e), out, state, check, _is_high()))
+    return read_output(spark, out, ticks(views.events(spark, d)).schema) \
+        .select("batch_id", "token_id", "metric_id", "pump_probability")
 
 
 RULE = scores.AlertRule(min_buys=20, min_change=5, min_probability=0.6, min_marketcap=3000, min_volume=50)
@@ -103,43 +111,45 @@ RULE = scores.AlertRule(min_buys=20, min_change=5, min_probability=0.6, min_mark
 
 def stream_changed_alerts(spark, d):
     out, state, check = _folders(spark)
-    _drain(streams.start_changed_alerts(ticks(sliced_stream(spark, d)), out, state, check, RULE))
-    back = read_output(spark, out, spark.createDataFrame([], "token_id long, price double, marketcap double,"
-                                                             " pump_probability double, updated_at timestamp").schema)
-    return back.select("batch_id", "token_id", "updated_at", *[rounded(c).alias(c) for c in
-                                                               ("price", "marketcap", "pump_probability")])
+    _feed_slices(spark, d, lambda e: streams.start_changed_alerts(ticks(e), out, state, check, RULE))
+    emitted = alerts(ticks(views.events(spark, d)), RULE)
+    return read_output(spark, out, emitted.schema).select(
+        "batch_id", "token_id", "updated_at", *[rounded(c).alias(c) for c in ("price", "marketcap", "pump_probability")])
 
 
 SNAPSHOT_FIELDS = ["token_id", "price", "pump_probability", "marketcap"]
 
 
-def _coarse_ticks(spark, d):
-    t = ticks(sliced_stream(spark, d)).withColumn("price", F.round(F.col("price") / 50))
+def _coarse(events):
+    t = ticks(events).withColumn("price", F.round(F.col("price") / 50))
     return t.withColumns({"marketcap": F.col("price") * 2, "pump_probability": F.round("pump_probability")})
 
 
 def stream_keyed_changes(spark, d):
     """Snapshot changes with the keyed state store."""
     out, _, check = _folders(spark)
-    changed = changed_rows_keyed(_coarse_ticks(spark, d), SNAPSHOT_FIELDS)
-    writer = changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
-    _drain(writer.trigger(availableNow=True).start())
-    back = spark.read.schema(changed.schema).parquet(out)
+
+    def start(e):
+        changed = changed_rows_keyed(_coarse(e), SNAPSHOT_FIELDS)
+        writer = changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+        return writer.trigger(availableNow=True).start()
+
+    _feed_slices(spark, d, start)
+    back = spark.read.schema(_coarse(views.events(spark, d)).schema).parquet(out)
     return back.select("token_id", "metric_id", "price", "pump_probability")
 
 
 def stream_snapshot_changes(spark, d):
     out, state, check = _folders(spark)
-    t = _coarse_ticks(spark, d)
-    _drain(streams.start_changes(t, out, state, check, SNAPSHOT_FIELDS))
-    return read_output(spark, out, t.schema).select("batch_id", "token_id", "metric_id", "price", "pump_probability")
+    _feed_slices(spark, d, lambda e: streams.start_changes(_coarse(e), out, state, check, SNAPSHOT_FIELDS))
+    return read_output(spark, out, _coarse(views.events(spark, d)).schema) \
+        .select("batch_id", "token_id", "metric_id", "price", "pump_probability")
 
 
 def stream_live_snapshot(spark, d):
     _, state, check = _folders(spark)
-    t = ticks(sliced_stream(spark, d))
-    query = _drain(streams.start_live_snapshot(t, state, check, trigger=None))
-    live = streams.latest_snapshot(spark, state, t.schema, query)
+    query = _feed_slices(spark, d, lambda e: streams.start_live_snapshot(ticks(e), state, check, trigger=None))
+    live = streams.latest_snapshot(spark, state, ticks(views.events(spark, d)).schema, query)
     return live.orderBy(F.desc_nulls_last("pump_probability"), F.desc("marketcap"), "token_id") \
         .select("token_id", "metric_id", "updated_at", rounded("price").alias("price"), "pump_probability")
 
