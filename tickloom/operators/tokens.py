@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scores
@@ -46,17 +46,21 @@ def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int =
     """Largest relative price rise over `steps` rows of a token, over all history rows.
 
     The lag runs per row block, so a token with a third of all rows is spread
-    over many tasks; the dimension join is left to the size check of Catalyst
-    and the skew handling of AQE.
+    over many tasks. No more than `limit` rows of one token can be among the
+    first `limit` of all, so each token keeps its best rows only (a group limit
+    that acts before the shuffle) and the dimension join sees few rows.
     """
     s = SeriesBlocks(("token_id",), ("metric_time", "metric_id"), time_block("metric_time", block_seconds),
                      back=steps, block_rows=block_rows)
     df = s.open(metrics.select("token_id", "metric_time", "metric_id", "price"))
     df = s.close(df.withColumn("price_before", F.lag("price", steps).over(s.row_window())))
     gain = F.try_divide(F.col("price") - F.col("price_before"), F.col("price_before"))
+    best = Window.partitionBy("token_id").orderBy(F.desc_nulls_first("pct_gain"), "metric_id")
     return (
         df.where(F.col("price_before").isNotNull())
         .withColumn("pct_gain", gain)
+        .withColumn("_rank", F.row_number().over(best))
+        .where(F.col("_rank") <= limit)
         .join(tokens, "token_id")
         .select("token_id", "mint", "symbol", "metric_id", "price", "price_before", "pct_gain")
         .orderBy(F.desc_nulls_first("pct_gain"), "token_id", "metric_id")
