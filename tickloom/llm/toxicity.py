@@ -17,7 +17,9 @@ from tickloom.llm.labelled import PER_CLASS, held_out, labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
 #: Rows and width of the embedding, words of a passage, lengths of character n-grams.
-BUCKETS, WIDTH, PASSAGE, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
+BUCKETS, WIDTH, PASSAGE, GRAMS = 1 << 17, 8, 4, (3, 4, 5, 6)
+#: Subwords of fewer documents of the sample keep a zero vector: they would be learnt by heart.
+LEAST_DOCUMENTS = 3
 KNOWN_LIMIT = 300_000
 
 
@@ -27,9 +29,9 @@ def words_of(text: str) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams, ends marked."""
-    marked = f"<{word}>".encode()
-    return [zlib.crc32(marked) % BUCKETS] + [
-        zlib.crc32(marked[i:i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
+    marked = f"<{word}>"
+    return [zlib.crc32(marked.encode()) % BUCKETS] + [
+        zlib.crc32(marked[i:i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
 
 
 class Toxicity:
@@ -71,10 +73,11 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.margins(words_of(text)).max(), -40, 40))))
 
 
-def fit_bags(bags: list[list[str]], marks: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Toxicity:
+def fit_bags(bags: list[list[str]], marks: np.ndarray, active: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Toxicity:
     """Embedding and softmax by joint gradient steps (Adagrad) over small batches of passages."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
+    vectors[~active] = 0
     weights, bias = rng.normal(0, 0.3, (WIDTH, 2)), np.zeros(2)
     seen, seen_w, seen_b = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
     table = {w: np.array(features(w)) for bag in bags for w in bag}
@@ -95,6 +98,7 @@ def fit_bags(bags: list[list[str]], marks: np.ndarray, epochs: int = 12, rate: f
             back = error @ weights.T
             touched, at = np.unique(ids, return_inverse=True)
             slope = np.stack([np.bincount(at, share * back[owner, k], len(touched)) for k in range(WIDTH)], axis=1)
+            slope *= active[touched, None]
             seen[touched] += (slope ** 2).mean(axis=1)
             vectors[touched] -= rate * slope / np.sqrt(seen[touched])[:, None]
             slope_w, slope_b = hidden.T @ error / len(some), error.mean(axis=0)
@@ -107,40 +111,41 @@ def fit_bags(bags: list[list[str]], marks: np.ndarray, epochs: int = 12, rate: f
 def fit(sample: list[tuple[str, int]], turns: int = 3) -> Toxicity:
     """Fit on passages: of a toxic document its worst one, of a clean document its worst and some others.
 
-    The first choice of passages goes by the log odds of words over documents, later ones by the model
-    itself. Without documents of both classes the model scores everything at 0.018.
+    The first choice of passages goes by the log odds of subwords over documents, later ones by the
+    model itself. Without documents of both classes the model scores everything at 0.018.
     """
     texts = [(words_of(t), m) for t, m in sample]
     texts = [(w, m) for w, m in texts if w]
     if len({m for _, m in texts}) < 2:
         return Toxicity(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 2)), np.array([4.0, 0.0]))
+    table = {w: features(w) for words, _ in texts for w in words}
     counts = [Counter(), Counter()]
     for words, mark in texts:
-        counts[mark].update(set(words))
+        counts[mark].update({f for w in set(words) for f in table[w]})
     totals = [sum(m == c for _, m in texts) for c in (0, 1)]
-    odds = {w: np.log((n + 0.1) / (totals[1] + 1)) - np.log((counts[0][w] + 1) / (totals[0] + 1)) for w, n in counts[1].items()}
+    odds = {f: np.log((n + 0.1) / (totals[1] + 1)) - np.log((counts[0][f] + 1) / (totals[0] + 1)) for f, n in counts[1].items() if n >= LEAST_DOCUMENTS}
+    active = np.zeros(BUCKETS, bool)
+    active[[f for f, n in (counts[0] + counts[1]).items() if n >= LEAST_DOCUMENTS]] = True
+    first = {w: max(odds.get(f, -9.0) for f in fs) for w, fs in table.items()}
     rng = np.random.default_rng(3)
-
-    def worst(words: list[str], values: np.ndarray) -> list[str]:
-        i = int(values.argmax())
-        return words[i:i + PASSAGE]
-
     model = None
     for _ in range(turns):
         bags, marks = [], []
         for words, mark in texts:
             if model is None:
-                value = np.array([odds.get(w, -9.0) for w in words])
-                at = max(0, min(int(value.argmax()) - PASSAGE // 2, len(words) - PASSAGE))
-                bags.append(words[at:at + PASSAGE])
+                at = int(np.argmax([first[w] for w in words])) - PASSAGE // 2
+                places = [max(0, min(at, len(words) - PASSAGE))]
             else:
-                bags.append(worst(words, model.margins(words)))
-            marks.append(mark)
+                margins = model.margins(words)
+                places = [int(margins.argmax())]
+                if mark == 0:  # another bad one, well apart from the worst
+                    margins[max(0, places[0] - PASSAGE):places[0] + PASSAGE] = -np.inf
+                    places += [int(margins.argmax())] * bool(np.isfinite(margins).any())
             if mark == 0:
-                for at in rng.integers(0, max(1, len(words) - PASSAGE + 1), 2).tolist():
-                    bags.append(words[at:at + PASSAGE])
-                    marks.append(0)
-        model = fit_bags(bags, np.array(marks))
+                places += rng.integers(0, max(1, len(words) - PASSAGE + 1), 2).tolist()
+            bags += [words[at:at + PASSAGE] for at in places]
+            marks += [mark] * len(places)
+        model = fit_bags(bags, np.array(marks), active)
     return model
 
 
