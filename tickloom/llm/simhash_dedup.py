@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,8 +14,9 @@ from tickloom.llm.common import batched, rows_of, stage, text_or_empty
 from tickloom.llm.components import components
 
 SEED = 42
-#: A shard of the tree holds about so many fingerprints; inside, the tree goes on to groups of SMALL.
-SHARD_ROWS, SMALL = 4096, 256
+#: A shard of the tree holds about sqrt(n) * SHARD_ROOT fingerprints, SHARD_ROWS at least; inside, the
+#: tree goes on to groups of SMALL. With sqrt(n) shards the boundary copies grow as n ** 0.28 per row.
+SHARD_ROWS, SHARD_ROOT, SMALL = 4096, 16, 256
 #: Fingerprints drawn to place the vantage points of the shards (a documented bound).
 SAMPLE_ROWS = 65_536
 BLOCK = 1 << 16
@@ -156,10 +159,11 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     a task of its own and reports at most one link per fingerprint.
     """
     n = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("bits")).limit(SAMPLE_ROWS).collect() if n > SHARD_ROWS else []
+    size = max(SHARD_ROWS, SHARD_ROOT * math.isqrt(n))
+    drawn = distinct.orderBy(F.xxhash64("bits")).limit(SAMPLE_ROWS).collect() if n > size else []
     sample = np.array([r["bits"] for r in drawn], np.int64).astype(np.uint64)
     # Shards of the sample shrink in proportion; below 64 rows its medians say little.
-    plan = tree(sample, radius, max(64, SHARD_ROWS * len(sample) / max(n, 1))) if len(sample) else None
+    plan = tree(sample, radius, max(64, size * len(sample) / max(n, 1))) if len(sample) else None
 
     def dealt(batches):
         for batch in batches:
