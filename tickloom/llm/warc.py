@@ -29,6 +29,8 @@ END = b"\r\n"
 CHUNK = 1 << 18
 #: A file is closed once so many bytes of records are in it.
 FILE_BYTES = 64 << 20
+#: Compressed bytes that a task reads back.
+READ_BYTES = 4 << 20
 FILES = pa.schema([("file", pa.string())])
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
 PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -198,7 +200,9 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
 
         yield from batched(made(), INDEX)
 
-    return stage(files.select("file").repartition("file").mapInArrow(rewritten, "file string, offset long, size long"), "warc-index")
+    # One file per task: a number that is asked for is not merged into few tasks, however short the list.
+    listed = files.select("file").repartition(max(1, files.count()))
+    return stage(listed.mapInArrow(rewritten, "file string, offset long, size long"), "warc-index")
 
 
 def read_pages(index: DataFrame) -> DataFrame:
@@ -223,8 +227,9 @@ def read_pages(index: DataFrame) -> DataFrame:
 
         yield from batched(made(), PAGES)
 
-    chunk = F.floor(F.col("offset") / (8 << 20))  # a large archive is read by many tasks
-    ordered = index.repartition("file", chunk).sortWithinPartitions("file", "offset")
+    chunk = F.floor(F.col("offset") / READ_BYTES)  # a large archive is read by many tasks
+    tasks = -(-(index.agg(F.sum("size")).first()[0] or 1) // READ_BYTES)
+    ordered = index.repartition(tasks, "file", chunk).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, PAGE_COLUMNS)
 
 
