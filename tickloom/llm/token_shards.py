@@ -150,7 +150,8 @@ def read_training_order(index: DataFrame, folder: str, length: int = 512, from_s
 
     wanted = index.where(F.col("first_slot") + F.col("rows") > from_slot).select("shard", "rows", "first_slot")
     # One row per shard and task: reading is spread over the cluster.
-    return wanted.repartition("shard").mapInArrow(read, RECORD_COLUMNS)
+    last = index.agg(F.max("shard")).first()[0]
+    return wanted.repartitionById((last or 0) + 1, F.col("shard")).mapInArrow(read, RECORD_COLUMNS)
 
 
 def training_order(spark: SparkSession, documents: DataFrame) -> DataFrame:
