@@ -197,7 +197,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             yield from found(held)
 
     dealt_out = distinct.select("bits").mapInArrow(dealt, "shard long, bits long")
-    return dealt_out.repartition("shard").sortWithinPartitions("shard").mapInArrow(searched, "a long, b long")
+    # Comparing is work that the size of the rows does not show, so tasks are not merged by size.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt_out.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(searched, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
