@@ -232,6 +232,7 @@ def one_of_each(documents: DataFrame, radius: int = 3) -> DataFrame:
     groups = stage(near_duplicates(documents, radius).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = stage(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    single = documents.join(gone.unionByName(repeated), "doc_id", "left_anti")
+    # The ids that go grow with the corpus, so they are merged in a shuffle at every size, never broadcast.
+    single = documents.join(gone.unionByName(repeated).hint("merge"), "doc_id", "left_anti")
     return single.unionByName(documents.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(
         *documents.columns)
