@@ -138,7 +138,7 @@ def test_momentum_needs_51_rows(spark):
             (F.col("id") + 100.0).alias("close"), (F.col("id") + 101.0).alias("high"), (F.col("id") + 99.0).alias("low"))
 
     df = candles(50).unionByName(candles(51)).unionByName(candles(300))
-    got = {r["symbol"]: r for r in signals.price_momentum(df, block_seconds=86400).collect()}
+    got = {r["symbol"]: r for r in signals.price_momentum(df).collect()}
     assert got["s50"]["momentum"] == 0.0
     assert got["s51"]["momentum"] == 1.0  # far above the mean, capped
     sma = sum(range(350, 400)) / 50

@@ -44,6 +44,29 @@ def test_upsert_table_touches_only_its_partitions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t" / "day=d1").iterdir()) == before
 
 
+def test_upsert_keeps_null_partitions_and_null_keys(spark, tmp_path):
+    path, ddl = str(tmp_path / "t"), "symbol string, close double, day string"
+    tables.write_table(spark.createDataFrame([("a", 1.0, None), ("b", 2.0, "d2"), ("d", 4.0, "d1"), (None, 5.0, None)], ddl), path, ["day"])
+    batch = spark.createDataFrame([("c", 3.0, None), ("b", 9.0, "d2"), (None, 6.0, None)], ddl)
+    for _ in range(2):
+        tables.upsert_table(spark, path, batch, ["symbol", "day"], ["day"])
+    got = spark.read.schema(ddl).parquet(path)
+    want = {("a", 1.0, None), ("b", 9.0, "d2"), ("c", 3.0, None), ("d", 4.0, "d1"), (None, 6.0, None)}
+    assert rows(got, "symbol", "close", "day") == want and got.count() == 5
+
+
+def test_insert_or_ignore_appends_only_new_rows(spark, tmp_path):
+    path, ddl = str(tmp_path / "t"), "symbol string, close double, day string"
+    tables.write_table(spark.createDataFrame([("a", 1.0, "d1"), (None, 2.0, None)], ddl), path, ["day"])
+    before = sorted(str(p) for p in (tmp_path / "t").rglob("*.parquet"))
+    batch = spark.createDataFrame([("a", 7.0, "d1"), (None, 8.0, None), ("e", 3.0, "d1"), ("f", 4.0, None)], ddl)
+    for _ in range(2):
+        tables.upsert_table(spark, path, batch, ["symbol", "day"], ["day"], ignore_existing=True)
+    got = spark.read.schema(ddl).parquet(path)
+    assert rows(got, "symbol", "close") == {("a", 1.0), (None, 2.0), ("e", 3.0), ("f", 4.0)} and got.count() == 4
+    assert set(before) <= {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+
+
 def test_selective_merge(spark):
     old = spark.createDataFrame([(1, "eth", "0x1", "old", False), (2, "eth", "0x2", "keep", True)],
                                 "id long, chain string, address string, label string, is_active boolean")

@@ -1,4 +1,4 @@
-"""Window features against pandas, with series cut into many blocks."""
+"""Window features against their definitions, with series cut into many blocks."""
 
 import datetime as dt
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import datasets, edges, features, tokens
 from tickloom.operators import timeseries as ts_ops
-from tickloom.operators.blocks import SeriesBlocks, first_rows, last_rows, time_block, with_position
+from tickloom.operators.blocks import SeriesBlocks, first_rows, last_rows, newest_rows, time_block, with_position
 
 START = dt.datetime(2024, 1, 1)
 LENGTHS = (1, 2, 19, 20, 23, 24, 50, 51, 168, 169, 3000)
@@ -28,27 +28,51 @@ def series_frame(spark, lengths=LENGTHS, constant=False, seed=3):
     return spark.createDataFrame(pdf), pdf
 
 
+def moments(window):
+    """Sample deviation, bias-corrected skewness and excess kurtosis of a full window, from their definitions."""
+    n, apart = len(window), np.asarray(window, float) - np.mean(window)
+    m2, m3, m4 = (float(np.mean(apart ** p)) for p in (2, 3, 4))
+    if m2 == 0:
+        return 0.0, 0.0, -3.0
+    g1, g2 = m3 / m2 ** 1.5, m4 / m2 ** 2 - 3
+    return (m2 * n / (n - 1)) ** 0.5, g1 * (n * (n - 1)) ** 0.5 / (n - 2), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+
+
+def weighted_mean(values, span):
+    """Mean with weights (1 - 2 / (span + 1)) ** age over the values there are; None before the first."""
+    ages = len(values) - 1 - np.arange(len(values))
+    there = ~np.isnan(values)
+    weights = (1 - 2 / (span + 1)) ** ages[there]
+    return float((weights * values[there]).sum() / weights.sum()) if there.any() else None
+
+
 def expected(g):
-    """The feature formulas restated with pandas on one series."""
-    s = g["spread_log"].reset_index(drop=True)
-    ret = s.diff().fillna(0)
-    out = pd.DataFrame({"spread_ret": ret})
-    out["roll_mean"] = s.rolling(24, min_periods=1).mean()
-    out["roll_std"] = s.rolling(24, min_periods=1).std(ddof=0).clip(lower=1e-6)
-    out["rv_20"] = ret.rolling(20).std().replace(0, 1e-6).fillna(1e-6)
-    for name, k in features.HORIZONS.items():
-        out[f"mom_{name}"] = s.diff(k).fillna(0)
-        out[f"y_{name}"] = (s.shift(-k) - s).fillna(0)
-    out["acceleration"] = out["mom_1h"].diff().fillna(0)
-    out["ema_20"] = s.ewm(span=20).mean()
-    out["ema_50"] = s.ewm(span=50).mean()
-    mid = s.rolling(20).mean().bfill().fillna(0)
-    std = s.rolling(20).std().replace(0, 1e-6).bfill().fillna(1e-6)
-    out["bb_z"] = (s - mid) / (std + 1e-6)
-    out["skew_20"] = ret.rolling(20).skew().fillna(0)
-    out["kurt_20"] = ret.rolling(20).kurt().fillna(0)
-    out["leg1_z"] = ((g["leg1_volume"] - g["leg1_volume"].mean()) / (g["leg1_volume"].std(ddof=0) + 1e-6)).to_numpy()
-    return out
+    """What each feature of a row is by its definition, from explicit slices of one series."""
+    s = g["spread_log"].to_numpy()
+    n = len(s)
+    ret = np.array([s[i] - s[i - 1] if i else 0.0 for i in range(n)])
+    rows = []
+    full = [i for i in range(n) if i >= 19]
+    for i in range(n):
+        day = s[max(0, i - 23):i + 1]
+        vol, skew, kurt = moments(ret[i - 19:i + 1]) if i >= 19 else (0.0, 0.0, 0.0)
+        row = {"spread_ret": ret[i], "roll_mean": day.sum() / len(day),
+               "roll_std": max(1e-6, (((day - day.sum() / len(day)) ** 2).sum() / len(day)) ** 0.5),
+               "rv_20": vol or 1e-6, "skew_20": skew, "kurt_20": kurt}
+        for name, k in features.HORIZONS.items():
+            row[f"mom_{name}"] = s[i] - s[i - k] if i >= k else 0.0
+            row[f"y_{name}"] = s[i + k] - s[i] if i + k < n else 0.0
+        row["acceleration"] = (s[i] - s[i - 1]) - (s[i - 1] - s[i - 2] if i >= 2 else 0.0) if i else 0.0
+        row["ema_20"], row["ema_50"] = (weighted_mean(s[max(0, i - 1200):i + 1], span) for span in (20, 50))
+        if full:  # the head takes the first full window
+            band = s[max(i, 19) - 19:max(i, 19) + 1]
+            row["bb_z"] = (s[i] - band.mean()) / ((moments(band)[0] or 1e-6) + 1e-6)
+        else:
+            row["bb_z"] = s[i] / (1e-6 + 1e-6)
+        v = g["leg1_volume"].to_numpy()
+        row["leg1_z"] = (v[i] - v.sum() / n) / ((((v - v.sum() / n) ** 2).sum() / n) ** 0.5 + 1e-6)
+        rows.append(row)
+    return pd.DataFrame(rows)
 
 
 def build(spark, spread, **kw):
@@ -58,7 +82,7 @@ def build(spark, spread, **kw):
 
 
 @pytest.mark.parametrize("block_rows", [1024, 65536])
-def test_features_match_pandas(spark, block_rows):
+def test_features_match_their_definitions(spark, block_rows):
     spread, pdf = series_frame(spark)
     got = build(spark, spread, block_rows=block_rows).toPandas().sort_values(["pair", "ts"])
     assert len(got) == len(pdf)
@@ -68,6 +92,45 @@ def test_features_match_pandas(spark, block_rows):
             np.testing.assert_allclose(mine[c], want, rtol=1e-9, atol=5e-9, err_msg=f"{pair} {c}")
 
 
+def test_moments_of_returns_far_from_zero(spark):
+    """A steady drift with tiny noise, where raw power sums would cancel."""
+    rng = np.random.default_rng(8)
+    drift = np.cumsum(0.01 + rng.normal(0, 1e-9, 60))
+    pdf = pd.DataFrame({"exchange": "x", "pair": "p", "ts": [START + dt.timedelta(hours=i) for i in range(60)],
+                        "spread_log": drift, "leg1_volume": 1.0, "leg2_volume": 1.0})
+    got = build(spark, spark.createDataFrame(pdf)).toPandas().sort_values("ts").reset_index(drop=True)
+    ret = np.diff(drift)
+    for i in range(20, 60):
+        vol, skew, kurt = moments(ret[i - 20:i])
+        np.testing.assert_allclose(got.loc[i, ["rv_20", "skew_20", "kurt_20"]].astype(float), [vol, skew, kurt], rtol=1e-4, atol=1e-12)
+
+
+def test_exponential_mean_with_gaps(spark):
+    values = [None, 5.0, None, 5.0, None, None, 5.0, 8.0, None, 2.0] + [None, 3.0] * 300
+    rows = [("x", "p", START + dt.timedelta(hours=i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "exchange string, pair string, ts timestamp, v double")
+    spans = {"e": 20}
+    s = SeriesBlocks(("exchange", "pair"), ("ts",), time_block("ts", 86400), back=ts_ops.ema_halo(spans.values()), block_rows=1024)
+    got = [r["e"] for r in s.close(ts_ops.with_ema(s.open(df), s, "v", spans)).orderBy("ts").collect()]
+    plain = np.array([np.nan if v is None else v for v in values])
+    for i, e in enumerate(got):
+        want = weighted_mean(plain[:i + 1], 20)
+        assert e is None if want is None else e == pytest.approx(want, rel=1e-9)
+    assert got[6] == pytest.approx(5.0)
+    with pytest.raises(ValueError):
+        ts_ops.ema_halo([1])
+
+
+def test_newest_rows(spark):
+    spread, _ = series_frame(spark, (5, 700))
+    got = newest_rows(spread, ["exchange", "pair"], ["ts"], 30).groupBy("pair").agg(
+        F.count("*").alias("n"), F.max("age").alias("age"), F.min("ts").alias("ts")).collect()
+    assert {(r["pair"], r["n"], r["age"], r["ts"]) for r in got} == {
+        ("p5", 5, 4, START), ("p700", 30, 29, START + dt.timedelta(hours=670))}
+    plan = newest_rows(spread, ["exchange", "pair"], ["ts"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_constant_series_is_finite(spark):
     spread, _ = series_frame(spark, (40,), constant=True)
     got = build(spark, spread).toPandas()

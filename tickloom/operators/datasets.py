@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.math import clamp, zscore
-from tickloom.operators.blocks import SeriesBlocks, last_rows
+from tickloom.operators.blocks import SeriesBlocks, newest_rows
 from tickloom.operators.features import HORIZONS, SERIES_KEYS, spread_blocks
 from tickloom.operators.timeseries import targets
 
@@ -16,7 +16,7 @@ from tickloom.operators.timeseries import targets
 def latest_window(spread: DataFrame, rows: int = 168, eps: float = 1e-8) -> DataFrame:
     """Newest rows of each series with volume z-scores over just those rows."""
     s = spread_blocks()
-    tail = last_rows(spread, s.keys, s.order, s.block, rows)
+    tail = newest_rows(spread, s.keys, s.order, rows)
     series = Window.partitionBy(*s.keys)  # at most `rows` rows each
 
     def z(volume: str) -> Column:

@@ -10,23 +10,22 @@ from pyspark.sql import functions as F
 from tickloom.functions import scores
 from tickloom.functions.math import clamp, safe_divide
 from tickloom.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, text_sentiment
-from tickloom.operators.blocks import last_rows, time_block
+from tickloom.operators.blocks import newest_rows
 
-WEEK = 7 * 86400
 
 
-def price_momentum(candles: DataFrame, keys: Sequence[str] = ("symbol",), lookback: int = 50, cap: float = 0.1,
-                   block_seconds: int = 4 * WEEK) -> DataFrame:
+def price_momentum(candles: DataFrame, keys: Sequence[str] = ("symbol",), lookback: int = 50,
+                   cap: float = 0.1) -> DataFrame:
     """Last candle and its capped distance to the `lookback`-row mean, per symbol.
 
     Only the newest lookback + 1 rows of a series are kept before the final
     aggregation. Series with fewer rows have momentum 0.
     """
-    tail = last_rows(candles, keys, ["open_time"], time_block("open_time", block_seconds), lookback + 1)
-    in_mean = F.col("pos") >= F.col("n_rows") - lookback
+    tail = newest_rows(candles, keys, ["open_time"], lookback + 1)
+    in_mean = F.col("age") < lookback
     agg = tail.groupBy(*keys).agg(
         F.max("open_time").alias("open_time"),
-        *[F.max_by(c, "pos").alias(c) for c in ("close", "high", "low")],
+        *[F.min_by(c, "age").alias(c) for c in ("close", "high", "low")],
         F.avg(F.when(in_mean, F.col("close"))).alias("sma"),
         F.count(F.lit(1)).alias("rows_seen"),
     )
@@ -50,12 +49,11 @@ def momentum_signals(candles: DataFrame, sentiment: Column, on_chain: Column | N
                     "confidence", *[c.alias(n) for n, c in levels.items()])
 
 
-def change_signals(candles: DataFrame, rule: scores.ChangeRule = scores.ChangeRule(), keys: Sequence[str] = ("symbol",),
-                   block_seconds: int = 4 * WEEK) -> DataFrame:
+def change_signals(candles: DataFrame, rule: scores.ChangeRule = scores.ChangeRule(), keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Signal from the relative change of the last candle."""
-    tail = last_rows(candles, keys, ["open_time"], time_block("open_time", block_seconds), 2)
+    tail = newest_rows(candles, keys, ["open_time"], 2)
     pair = tail.groupBy(*keys).agg(
-        F.max_by("close", "pos").alias("entry_price"), F.min_by("close", "pos").alias("before"),
+        F.min_by("close", "age").alias("entry_price"), F.max_by("close", "age").alias("before"),
         F.count(F.lit(1)).alias("rows_seen"),
     ).where(F.col("rows_seen") == 2)
     df = pair.withColumn("change", safe_divide(F.col("entry_price") - F.col("before"), "before"))

@@ -9,6 +9,8 @@ the partitions they touch are replaced.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,20 @@ def merge_latest(current: DataFrame, batch: DataFrame, keys: Sequence[str], orde
     return latest_per_key(tagged, keys, ["_n", *order]).select(*current.columns)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which NULL keys are equal, as they are in a GROUP BY."""
+    named = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys])
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how)
+
+
+def fresh_rows(current: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of the batch whose key is not stored, first by `order`; a NULL key is a key like any other."""
+    return join_null_safe(earliest_per_key(batch, keys, order), current, keys, "left_anti").select(*current.columns)
+
+
 def merge_first(current: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Insert-or-ignore: rows of the batch whose key is not stored, first by `order`."""
-    fresh = earliest_per_key(batch, keys, order)
-    return current.unionByName(fresh.join(current.select(*keys), list(keys), "left_anti").select(*current.columns))
+    """Insert-or-ignore: the stored rows and the `fresh_rows` of the batch."""
+    return current.unionByName(fresh_rows(current, batch, keys, order))
 
 
 def merge_columns(current: DataFrame, batch: DataFrame, keys: Sequence[str], replace: Sequence[str],
@@ -116,30 +128,31 @@ def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> N
 
 
 def touched_rows(spark: SparkSession, path: str, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Stored rows of the partitions a batch touches.
+    """Stored rows of the partitions a batch touches, those of NULL partitions included.
 
-    Only partition values are collected (the driver lists the partitions of a
-    table anyway); as literals they prune the scan before it starts.
+    Nothing is collected: the stored table meets the batch's distinct partition tuples. Where all values
+    are there, a plain semi join lets Spark prune the partitions at run time; tuples with a NULL meet
+    only the stored partitions that have one.
     """
-    stored = spark.read.schema(batch.schema).parquet(path)
+    stored = spark.read.schema(batch.schema).parquet(path).select(*batch.columns)
     touched = batch.select(*partition_by).distinct()
-    values = touched.agg(*[F.collect_set(c).alias(c) for c in partition_by]).first()
-    for c in partition_by:
-        stored = stored.where(F.col(c).isin(values[c]))
-    if len(partition_by) > 1:
-        stored = stored.join(touched, list(partition_by), "left_semi")
-    return stored.select(*batch.columns)
+    any_null = reduce(or_, [F.col(c).isNull() for c in partition_by])
+    plain = stored.join(touched.where(~any_null), list(partition_by), "left_semi").select(*batch.columns)
+    return plain.unionByName(join_null_safe(stored.where(any_null), touched.where(any_null), partition_by, "left_semi"))
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition_by: Sequence[str],
                  order: Sequence[str] = (), ignore_existing: bool = False) -> None:
     """Upsert (or insert-or-ignore) a batch into a partitioned table.
 
-    The partition columns must follow from the key. Safe to repeat: the merged
-    partitions are complete before any stored one is replaced.
+    The partition columns must follow from the key. The batch is computed once. Insert-or-ignore only
+    appends the rows that are new. Safe to repeat: merged partitions are complete before any stored one
+    is replaced, and rows appended before are stored keys the next time.
     """
-    merge = merge_first if ignore_existing else merge_latest
-    target = [c for c in batch.columns if c not in order]
-    shaped = batch.select(*target)
-    merged = merge(touched_rows(spark, path, shaped, partition_by), batch, keys, order)
-    write_partitions(cut_lineage(merged), path, partition_by)
+    batch = cut_lineage(batch)
+    shaped = batch.select(*[c for c in batch.columns if c not in order])
+    stored = touched_rows(spark, path, shaped, partition_by)
+    if ignore_existing:
+        append_table(cut_lineage(fresh_rows(stored, batch, keys, order)), path, partition_by)
+    else:
+        write_partitions(cut_lineage(merge_latest(stored, batch, keys, order)), path, partition_by)

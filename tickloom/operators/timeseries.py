@@ -57,77 +57,54 @@ def rolling_kurtosis(s: SeriesBlocks, value: str, n: int = 20) -> Column:
     return F.when(F.col(POS) < n - 1, F.lit(0.0)).otherwise(F.coalesce(corrected, F.lit(-3.0)))
 
 
-def return_sums(s: SeriesBlocks, value: str, n: int = 20) -> dict[str, Column]:
-    """Power sums and bounds of n rows, the window part of `return_moments`."""
-    frame, x = s.rows(-(n - 1), 0), F.col(value)
-    powers = {"s1": x, "s2": x * x, "s3": x * x * x, "s4": x * x * x * x}
-    return {
-        **{f"_{k}": F.sum(p).over(frame) for k, p in powers.items()},
-        "_low": F.min(x).over(frame), "_high": F.max(x).over(frame),
-    }
-
-
-def return_moments(n: int = 20, floor: float = 1e-6) -> dict[str, Column]:
-    """Realised volatility, skewness and excess kurtosis from `return_sums`.
-
-    Same results as `realised_vol`, `rolling_skew` and `rolling_kurtosis` for
-    values around zero, such as returns, at a fraction of the work per row; for
-    values far from zero relative to their spread use those three. Constant
-    windows are recognised by their bounds, not by a variance of exactly zero.
-    """
-    mean = F.col("_s1") / n
-    m2 = F.greatest(F.col("_s2") / n - mean * mean, F.lit(0.0))
-    m3 = F.col("_s3") / n - mean * F.col("_s2") * 3.0 / n + mean * mean * mean * 2.0
-    m4 = F.col("_s4") / n - mean * F.col("_s3") * 4.0 / n + mean * mean * F.col("_s2") * 6.0 / n \
-        - mean * mean * mean * mean * 3.0
-    full = F.col(POS) >= n - 1
-    varied = full & (F.col("_low") != F.col("_high")) & (m2 > 0)
-    skew = m3 / (m2 * F.sqrt(m2)) * (math.sqrt(n * (n - 1)) / (n - 2))
-    kurt = ((m4 / (m2 * m2) - 3.0) * (n + 1) + 6.0) * ((n - 1) / ((n - 2) * (n - 3)))
-    return {
-        f"rv_{n}": F.when(varied, F.sqrt(m2 * n / (n - 1))).otherwise(F.lit(floor)),
-        f"skew_{n}": F.when(varied, skew).otherwise(F.lit(0.0)),
-        f"kurt_{n}": F.when(varied, kurt).when(full, F.lit(-3.0)).otherwise(F.lit(0.0)),
-    }
-
-
 def ema_halo(spans: Sequence[int]) -> int:
     """Rows of history after which the weights are below double precision."""
     return SUB_ROWS * max(_ema_terms(span) for span in spans)
 
 
 def _ema_terms(span: int) -> int:
+    if span < 2:
+        raise ValueError("an exponential mean needs a span of 2 or more")
     decay = 1.0 - 2.0 / (span + 1.0)
     return max(1, math.ceil(math.log(1e-17) / (SUB_ROWS * math.log(decay))))
 
 
 def ema_inner(s: SeriesBlocks, value: str, spans: dict[str, int]) -> dict[str, Column]:
-    """Weighted prefix sums inside sub-blocks, the first stage of `ema`."""
+    """Weighted prefix sums of values and of weights inside sub-blocks, the first stage of `ema`.
+
+    Rows without a value carry no weight, so a gap does not pull the mean towards zero.
+    """
     k = F.col(POS) % SUB_ROWS
-    decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    return {
-        f"_in_{name}": F.sum(F.col(value) * F.pow(F.lit(q), -k)).over(s.sub_running()) * F.pow(F.lit(q), k)
-        for name, q in decay.items()}
+    out: dict[str, Column] = {}
+    for name, span in spans.items():
+        q = 1.0 - 2.0 / (span + 1.0)
+        weight = F.when(F.col(value).isNotNull(), F.pow(F.lit(q), -k)).otherwise(F.lit(0.0))
+        out[f"_in_{name}"] = F.coalesce(F.sum(F.col(value) * weight).over(s.sub_running()), F.lit(0.0)) * F.pow(F.lit(q), k)
+        out[f"_wt_{name}"] = F.sum(weight).over(s.sub_running()) * F.pow(F.lit(q), k)
+    return out
 
 
 def ema(s: SeriesBlocks, spans: dict[str, int]) -> dict[str, Column]:
-    """Exponential means with normalised weights: sum q^(t-i) x_i / sum q^(t-i).
+    """Exponential means with normalised weights: sum q^(t-i) x_i / sum q^(t-i) over rows with a value.
 
     Weighted prefix sums run inside 256-row sub-blocks (`ema_inner`), where q^-k
     cannot overflow; the end values of the few sub-blocks before carry in the
-    rest. The frame must be opened with `back >= ema_halo(spans)`.
+    rest. The frame must be opened with `back >= ema_halo(spans)`. NULL until
+    the series has a value.
     """
     k = F.col(POS) % SUB_ROWS
 
-    def mean(name: str, span: int) -> Column:
-        q = 1.0 - 2.0 / (span + 1.0)
-        end = F.when(k == SUB_ROWS - 1, F.col(f"_in_{name}"))
+    def total(column: str, q: float, span: int) -> Column:
+        end = F.when(k == SUB_ROWS - 1, F.col(column))
         carry = F.lit(0.0)
         for j in range(1, _ema_terms(span) + 1):
-            weight = q ** (SUB_ROWS * (j - 1))
-            carry = carry + F.coalesce(F.sum(end).over(s.sub_before(j)), F.lit(0.0)) * weight
-        total = (1.0 - F.pow(F.lit(q), F.col(POS) + 1)) / (1.0 - q)
-        return (F.col(f"_in_{name}") + carry * F.pow(F.lit(q), k + 1)) / total
+            carry = carry + F.coalesce(F.sum(end).over(s.sub_before(j)), F.lit(0.0)) * q ** (SUB_ROWS * (j - 1))
+        return F.col(column) + carry * F.pow(F.lit(q), k + 1)
+
+    def mean(name: str, span: int) -> Column:
+        q = 1.0 - 2.0 / (span + 1.0)
+        weight = total(f"_wt_{name}", q, span)
+        return F.when(weight > 0, total(f"_in_{name}", q, span) / weight)
 
     return {name: mean(name, span) for name, span in spans.items()}
 

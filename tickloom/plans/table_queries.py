@@ -164,7 +164,7 @@ def parse_token_transfers(spark, d):
                     F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string").alias("timeStamp"),
                     contract.alias("contractAddress"))
     landed = o.select(F.to_json(F.struct(F.array(item).alias("result"))).alias("payload"))
-    rows = payloads.read_token_transfers(landed, contracts=CONTRACTS, block_seconds=30 * DAY)
+    rows = payloads.read_token_transfers(landed, contracts=CONTRACTS)
     return _rounded(rows, ["contract", "token", "wallet_from", "wallet_to", "ts", "tx_hash"], ["amount", "amount_usd"])
 
 

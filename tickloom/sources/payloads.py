@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.math import number, satoshi_to_coin, token_units
 from tickloom.functions.text import first_text
 from tickloom.functions.times import millis_to_timestamp
-from tickloom.operators.blocks import last_rows, time_block
+from tickloom.operators.blocks import newest_rows
 
 # Positions of the fields in array-coded candles.
 KLINE_POSITIONS = {
@@ -91,8 +91,7 @@ def quarantined(rows: DataFrame, keep: Sequence[str] = ("exchange", "symbol", "i
     return rows.where(~F.col("valid")).select(*keep, "raw")
 
 
-def read_candles_alt(df: DataFrame, payload: str = "payload", last: int | None = None,
-                     block_seconds: int = 28 * 86400) -> DataFrame:
+def read_candles_alt(df: DataFrame, payload: str = "payload", last: int | None = None) -> DataFrame:
     """Candles coded (seconds, low, high, open, close, volume); newest `last` per symbol."""
     items = df.withColumn("_k", F.explode(F.from_json(payload, "array<array<string>>")))
     cells = _typed(F.col("_k"), ALT_POSITIONS, ("open_s",))
@@ -102,7 +101,7 @@ def read_candles_alt(df: DataFrame, payload: str = "payload", last: int | None =
     if last is None:
         return rows
     keys = ["exchange", "symbol", "interval_code"]
-    return last_rows(rows, keys, ["open_time"], time_block("open_time", block_seconds), last).drop("pos", "n_rows")
+    return newest_rows(rows, keys, ["open_time"], last).drop("age")
 
 
 def read_kline_stream(df: DataFrame, payload: str = "payload", exchange: str = "binance") -> DataFrame:
@@ -165,8 +164,7 @@ def contract_symbol(contract: Column, contracts: Mapping[str, str] = TOKEN_CONTR
 
 
 def read_token_transfers(df: DataFrame, payload: str = "payload", newest: int = 5,
-                         contracts: Mapping[str, str] | None = TOKEN_CONTRACTS, usd_price: float = 1.0,
-                         block_seconds: int = 86400) -> DataFrame:
+                         contracts: Mapping[str, str] | None = TOKEN_CONTRACTS, usd_price: float = 1.0) -> DataFrame:
     """Newest transfers per contract with amounts in token units.
 
     Contracts outside the map are skipped; `contracts=None` keeps every
@@ -182,7 +180,7 @@ def read_token_transfers(df: DataFrame, payload: str = "payload", newest: int =
         (amount * usd_price).alias("amount_usd"), F.timestamp_seconds(F.col("t.timeStamp").try_cast("long")).alias("ts"),
         F.col("t.hash").alias("tx_hash"),
     ).where(F.col("token").isNotNull() & F.col("contract").isNotNull())
-    return last_rows(rows, ["contract"], ["ts", "tx_hash"], time_block("ts", block_seconds), newest).drop("pos", "n_rows")
+    return newest_rows(rows, ["contract"], ["ts", "tx_hash"], newest).drop("age")
 
 
 def read_dex_pairs(df: DataFrame, payload: str = "payload") -> DataFrame:

@@ -81,6 +81,7 @@ def start_candle_upsert(messages: DataFrame, out: str, checkpoint: str, trigger:
     ensure_table(messages.sparkSession, out, updates.schema, ["day"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = tables.cut_lineage(batch)
         stored = tables.touched_rows(batch.sparkSession, out, batch, ["day"])
         merged = latest_per_key(stored.unionByName(batch), CANDLE_KEY, ["arrived_at", "arrival_id"])
         tables.write_partitions(tables.cut_lineage(merged), out, ["day"])
