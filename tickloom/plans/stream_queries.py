@@ -17,7 +17,7 @@ from tickloom.streaming import streams
 from tickloom.streaming.keyed import changed_rows_keyed
 from tickloom.streaming.state import read_output
 
-SLICES = 3  # ten days each
+SLICES = 3  # equal ranges of time
 
 
 def _folders(spark):
@@ -33,13 +33,15 @@ def event_stream(spark, d):
 
 
 def _feed_slices(spark, d, start):
-    """Land the events ten days at a time; `start(stream)` drains each landing as one micro-batch.
+    """Land the events in time order, a range at a time; `start(stream)` drains each landing as one micro-batch.
 
-    The query is stopped and resumed from its checkpoint between landings.
+    The query is stopped and resumed from its checkpoint between landings. Events without a time land first.
     """
     e = views.events(spark, d)
     root = f"{shared_dir(spark)}/landing/{uuid.uuid4().hex}"
-    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(SLICES - 1))
+    first, last = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    width = ((last or 0) - (first or 0)) // SLICES + 1
+    part = F.coalesce(F.floor((F.unix_micros("ts") - F.lit(first or 0)) / width), F.lit(0))
     query = None
     for i in range(SLICES):
         e.where(part == i).write.mode("append").parquet(root)
@@ -157,7 +159,8 @@ def stream_live_snapshot(spark, d):
 TICKS = """
     SELECT user_id AS token_id, event_id AS metric_id, ts AS metric_time, value + 1.0 AS price, event_id % 30 AS buys_5m,
            value AS volume_5m, (event_id % 100) / 100.0 AS pump_probability, (value + 1.0) * 100 AS marketcap,
-           event_id % 8 AS price_change_1h, least((day(ts) - 1) // 10, 2) AS batch_id FROM events"""
+           event_id % 8 AS price_change_1h, (epoch_us(ts) - min(epoch_us(ts)) OVER ())
+             // ((max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()) // 3 + 1) AS batch_id FROM events"""
 SNAPSHOT = """
     SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY token_id, batch_id ORDER BY metric_time DESC) = 1"""
 SNAP_CTES = {"ticks": TICKS, "snap": SNAPSHOT}

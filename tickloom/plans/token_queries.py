@@ -97,8 +97,8 @@ def token_trends(spark, d):
 def token_hourly(spark, d):
     """Hourly token candles (price per token and hour)."""
     m = views.token_metrics(spark, d)
-    at = F.col("metric_time")
-    return m.groupBy("token_id", F.date_trunc("hour", at).alias("hour_bucket")).agg(
+    at = F.struct("metric_time", "metric_id")
+    return m.groupBy("token_id", F.date_trunc("hour", F.col("metric_time")).alias("hour_bucket")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("volume").alias("volume")) \
         .select("token_id", "hour_bucket", *[rounded(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
