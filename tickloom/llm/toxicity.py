@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,8 +29,22 @@ def words_of(text: str) -> list[str]:
 def features(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams, ends marked."""
     marked = f"<{word}>"
-    return [zlib.crc32(marked.encode()) % BUCKETS] + [
-        zlib.crc32(marked[i:i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
+    whole = marked.encode()
+    size = len(marked)
+    if len(whole) == size:  # ASCII: bytes are characters
+        parts = [whole[i:i + n] for n in GRAMS if n < size for i in range(size - n + 1)]
+    else:
+        parts = [marked[i:i + n].encode() for n in GRAMS if n < size for i in range(size - n + 1)]
+    return [zlib.crc32(part) % BUCKETS for part in (whole, *parts)]
+
+
+def passages(values: np.ndarray) -> np.ndarray:
+    """Means of PASSAGE neighbours (of all, if they are fewer)."""
+    sums = np.cumsum(values)
+    if len(values) <= PASSAGE:
+        return sums[-1:] / len(values)
+    sums = np.append(0.0, sums)
+    return (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
 
 
 class Toxicity:
@@ -55,53 +68,65 @@ class Toxicity:
         if value is None:
             if len(self.known) >= KNOWN_LIMIT:
                 self.known = {}
-            value = self.known[word] = float(self.part[features(word)].mean())
+            found = features(word)
+            value = self.known[word] = float(self.part[found].sum()) / len(found)
         return value
 
+    def base(self) -> float:
+        return float(self.bias[1] - self.bias[0])
+
     def margins(self, words: list[str]) -> np.ndarray:
         """Log odds of every passage of PASSAGE words (of all words, if they are fewer)."""
-        base = float(self.bias[1] - self.bias[0])
         if not words:
-            return np.array([min(base, -4.0)])
-        sums = np.cumsum(np.fromiter(map(self.word, words), np.float64, len(words)))
-        if len(words) <= PASSAGE:
-            return np.array([base + sums[-1] / len(words)])
-        sums = np.append(0.0, sums)
-        return base + (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
+            return np.array([min(self.base(), -4.0)])
+        return self.base() + passages(np.fromiter(map(self.word, words), np.float64, len(words)))
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.margins(words_of(text)).max(), -40, 40))))
 
 
-def fit_bags(bags: list[list[str]], marks: np.ndarray, active: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Toxicity:
-    """Embedding and softmax by joint gradient steps (Adagrad) over small batches of passages."""
+def step_of(rows: list[tuple[np.ndarray, np.ndarray]], marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A batch laid out for sums by bag and by subword: ids, shares, bags, order by id, places where an id begins, its ids, target.
+
+    Every bag ends with one row of share zero, so that none is empty.
+    """
+    ids = np.concatenate([np.append(i, 0) for i, _ in rows])
+    share = np.concatenate([np.append(x, 0.0) for _, x in rows])
+    sizes = np.array([len(i) + 1 for i, _ in rows])
+    order = np.argsort(ids, kind="stable")
+    touched, begins = np.unique(ids[order], return_index=True)
+    return ids, share[:, None], np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes), order, begins, touched, np.eye(2)[marks]
+
+
+def fit_bags(bags: list[np.ndarray], found: list[np.ndarray], marks: np.ndarray, active: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Toxicity:
+    """Embedding and softmax by joint gradient steps (Adagrad) over small batches of passages.
+
+    A bag holds numbers of words, `found` the buckets of every word. Batches are drawn once and come
+    in a new order in every epoch. Subwords that are not active have a zero vector that never moves;
+    they count in a word's mean and take no part in the steps.
+    """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     vectors[~active] = 0
     weights, bias = rng.normal(0, 0.3, (WIDTH, 2)), np.zeros(2)
     seen, seen_w, seen_b = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
-    table = {w: np.array(features(w)) for bag in bags for w in bag}
+    table = {w: (found[w][active[found[w]]], 1 / len(found[w])) for w in {w for bag in bags for w in bag.tolist()}}
     rows = []
     for bag in bags:
-        ids = [table[w] for w in bag]
-        rows.append((np.concatenate(ids), np.concatenate([np.full(len(x), 1 / (len(x) * len(ids))) for x in ids])))
-    target = np.eye(2)[marks]
+        parts = [table[w] for w in bag.tolist()]
+        rows.append((np.concatenate([i for i, _ in parts]), np.concatenate([np.full(len(i), x / len(parts)) for i, x in parts])))
+    steps = [step_of([rows[i] for i in some], marks[some]) for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32))]
     for _ in range(epochs):
-        for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
-            ids = np.concatenate([rows[i][0] for i in some])
-            share = np.concatenate([rows[i][1] for i in some])
-            owner = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            hidden = np.stack([np.bincount(owner, share * vectors[ids, k], len(some)) for k in range(WIDTH)], axis=1)
+        for k in rng.permutation(len(steps)):
+            ids, share, bag_begins, owner, order, begins, touched, target = steps[k]
+            hidden = np.add.reduceat(vectors[ids] * share, bag_begins)
             logits = hidden @ weights + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-            error = odds / odds.sum(axis=1, keepdims=True) - target[some]
-            back = error @ weights.T
-            touched, at = np.unique(ids, return_inverse=True)
-            slope = np.stack([np.bincount(at, share * back[owner, k], len(touched)) for k in range(WIDTH)], axis=1)
-            slope *= active[touched, None]
+            error = odds / odds.sum(axis=1, keepdims=True) - target
+            slope = np.add.reduceat(((error @ weights.T)[owner] * share)[order], begins) * active[touched, None]
             seen[touched] += (slope ** 2).mean(axis=1)
             vectors[touched] -= rate * slope / np.sqrt(seen[touched])[:, None]
-            slope_w, slope_b = hidden.T @ error / len(some), error.mean(axis=0)
+            slope_w, slope_b = hidden.T @ error / len(error), error.mean(axis=0)
             seen_w, seen_b = seen_w + (slope_w ** 2).mean(), seen_b + (slope_b ** 2).mean()
             weights = weights - rate * 0.3 * slope_w / np.sqrt(seen_w)
             bias = bias - rate * 0.3 * slope_b / np.sqrt(seen_b)
@@ -114,29 +139,31 @@ def fit(sample: list[tuple[str, int]], turns: int = 3) -> Toxicity:
     The first choice of passages goes by the log odds of subwords over documents, later ones by the
     model itself. Without documents of both classes the model scores everything at 0.018.
     """
-    texts = [(words_of(t), m) for t, m in sample]
-    texts = [(w, m) for w, m in texts if w]
+    numbers: dict[str, int] = {}
+    texts = [(np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int64), m) for t, m in sample]
+    texts = [(w, m) for w, m in texts if len(w)]
     if len({m for _, m in texts}) < 2:
         return Toxicity(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 2)), np.array([4.0, 0.0]))
-    table = {w: features(w) for words, _ in texts for w in words}
-    counts = [Counter(), Counter()]
+    found = [np.array(features(w), np.int32) for w in numbers]
+    sizes = np.array([len(x) for x in found])
+    flat, starts = np.concatenate(found), np.cumsum(sizes) - sizes
+    counts, totals = np.zeros((2, BUCKETS), np.int64), [sum(m == c for _, m in texts) for c in (0, 1)]
     for words, mark in texts:
-        counts[mark].update({f for w in set(words) for f in table[w]})
-    totals = [sum(m == c for _, m in texts) for c in (0, 1)]
-    odds = {f: np.log((n + 0.1) / (totals[1] + 1)) - np.log((counts[0][f] + 1) / (totals[0] + 1)) for f, n in counts[1].items() if n >= LEAST_DOCUMENTS}
-    active = np.zeros(BUCKETS, bool)
-    active[[f for f, n in (counts[0] + counts[1]).items() if n >= LEAST_DOCUMENTS]] = True
-    first = {w: max(odds.get(f, -9.0) for f in fs) for w, fs in table.items()}
+        counts[mark, np.concatenate([found[w] for w in set(words.tolist())])] += 1
+    active = counts.sum(axis=0) >= LEAST_DOCUMENTS
+    odds = np.where(counts[1] >= LEAST_DOCUMENTS, np.log((counts[1] + 0.1) / (totals[1] + 1)) - np.log((counts[0] + 1) / (totals[0] + 1)), -9.0)
+    first = np.maximum.reduceat(odds[flat], starts)
     rng = np.random.default_rng(3)
     model = None
     for _ in range(turns):
         bags, marks = [], []
+        values = None if model is None else np.add.reduceat(model.part[flat], starts) / sizes
         for words, mark in texts:
-            if model is None:
-                at = int(np.argmax([first[w] for w in words])) - PASSAGE // 2
+            if values is None:
+                at = int(first[words].argmax()) - PASSAGE // 2
                 places = [max(0, min(at, len(words) - PASSAGE))]
             else:
-                margins = model.margins(words)
+                margins = passages(values[words])
                 places = [int(margins.argmax())]
                 if mark == 0:  # another bad one, well apart from the worst
                     margins[max(0, places[0] - PASSAGE):places[0] + PASSAGE] = -np.inf
@@ -145,7 +172,7 @@ def fit(sample: list[tuple[str, int]], turns: int = 3) -> Toxicity:
                 places += rng.integers(0, max(1, len(words) - PASSAGE + 1), 2).tolist()
             bags += [words[at:at + PASSAGE] for at in places]
             marks += [mark] * len(places)
-        model = fit_bags(bags, np.array(marks), active)
+        model = fit_bags(bags, found, np.array(marks), active)
     return model
 
 
