@@ -128,42 +128,40 @@ def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, dec
         return neutral
     marks = np.array([m for _, m in pairs])
     sizes = np.array([len(r) for r, _ in pairs])
-    longest = int(sizes[0])
-    # Documents are sorted by length, so those still running at a line are the first ones.
-    running = [int((sizes > t).sum()) for t in range(longest)]
-    grid = np.zeros((longest, len(pairs), N_FEATURES))
-    for i, (rows, _) in enumerate(pairs):
-        grid[:len(rows), i] = rows
+    # Documents are sorted by length, so those still running at a line are the first ones. Lines are laid
+    # out by place, then document: row begins[t] + i is line t of document i, and nothing is padded.
+    running = [int((sizes > t).sum()) for t in range(int(sizes[0]))]
+    begins = np.append(0, np.cumsum(running))
+    owner = np.concatenate([np.arange(k) for k in running])
+    place = np.repeat(np.arange(len(running)), running)
+    starts = np.append(0, np.cumsum(sizes))[:-1]
+    lines = np.concatenate([r for r, _ in pairs])[starts[owner] + place]
+    at = [slice(int(begins[t]), int(begins[t + 1])) for t in range(len(running))]
+    # Of every line but the first of a document, its own row and the row of the line before.
+    later = np.arange(running[0], len(lines))
+    earlier = begins[place[later] - 1] + owner[later]
     each = np.where(marks == 1, 0.5 / max(1, (marks == 1).sum()), 0.5 / max(1, (marks == 0).sum()))
+    scale, truth = (each / sizes)[owner, None], np.eye(2)[marks][owner]
+    pairs_truth = truth[later, :, None] * truth[later, None, :]
     params = np.zeros(2 * N_FEATURES + 6)
     m1, m2 = np.zeros_like(params), np.zeros_like(params)
     for turn in range(1, rounds + 1):
         weights, steps, first = params[:2 * N_FEATURES].reshape(N_FEATURES, 2), params[2 * N_FEATURES:-2].reshape(2, 2), params[-2:]
-        emitted = grid @ weights
-        ahead = np.zeros((longest, len(pairs), 2))
-        ahead[0] = emitted[0] + first
-        for t in range(1, longest):
-            k = running[t]
-            ahead[t, :k] = np.logaddexp(ahead[t - 1, :k, 0:1] + steps[0], ahead[t - 1, :k, 1:2] + steps[1]) + emitted[t, :k]
-        behind = np.zeros((longest, len(pairs), 2))
-        for t in range(longest - 2, -1, -1):
-            k = running[t + 1]
-            after = behind[t + 1, :k] + emitted[t + 1, :k]
-            behind[t, :k] = np.logaddexp(after[:, 0:1] + steps[:, 0], after[:, 1:2] + steps[:, 1])
-        total = np.logaddexp(ahead[0, :, 0] + behind[0, :, 0], ahead[0, :, 1] + behind[0, :, 1])
-        slope_w, slope_s = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-        truth = np.eye(2)[marks]
-        scale = each / sizes
-        for t in range(longest):
-            k = running[t]
-            surplus = (np.exp(ahead[t, :k] + behind[t, :k] - total[:k, None]) - truth[:k]) * scale[:k, None]
-            slope_w += grid[t, :k].T @ surplus
-            if t == 0:
-                slope_f = surplus.sum(axis=0)
-            else:
-                both = np.exp(ahead[t - 1, :k, :, None] + steps + (emitted[t, :k] + behind[t, :k])[:, None, :] - total[:k, None, None])
-                slope_s += ((both - truth[:k, :, None] * truth[:k, None, :]) * scale[:k, None, None]).sum(axis=0)
-        slope = np.concatenate([slope_w.ravel(), slope_s.ravel(), slope_f]) + decay * params
+        emitted = lines @ weights
+        ahead = np.empty_like(emitted)
+        ahead[at[0]] = emitted[at[0]] + first
+        for t in range(1, len(at)):
+            before = ahead[at[t - 1]][:running[t]]
+            ahead[at[t]] = np.logaddexp(before[:, 0:1] + steps[0], before[:, 1:2] + steps[1]) + emitted[at[t]]
+        behind = np.zeros_like(emitted)
+        for t in range(len(at) - 2, -1, -1):
+            after = behind[at[t + 1]] + emitted[at[t + 1]]
+            behind[begins[t]:begins[t] + running[t + 1]] = np.logaddexp(after[:, 0:1] + steps[:, 0], after[:, 1:2] + steps[:, 1])
+        total = np.logaddexp(*(ahead[at[0]] + behind[at[0]]).T)[owner]
+        surplus = (np.exp(ahead + behind - total[:, None]) - truth) * scale
+        both = np.exp(ahead[earlier][:, :, None] + steps + (emitted + behind)[later][:, None, :] - total[later, None, None])
+        slope_s = ((both - pairs_truth) * scale[later, :, None]).sum(axis=0)
+        slope = np.concatenate([(lines.T @ surplus).ravel(), slope_s.ravel(), surplus[at[0]].sum(axis=0)]) + decay * params
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope ** 2
         params = params - rate * (m1 / (1 - 0.9 ** turn)) / (np.sqrt(m2 / (1 - 0.999 ** turn)) + 1e-8)
     return LineField(params[:2 * N_FEATURES].reshape(N_FEATURES, 2), params[2 * N_FEATURES:-2].reshape(2, 2), params[-2:])
