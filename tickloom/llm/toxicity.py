@@ -101,9 +101,9 @@ def step_of(rows: list[tuple[np.ndarray, np.ndarray]], marks: np.ndarray) -> tup
 def fit_bags(bags: list[np.ndarray], found: list[np.ndarray], marks: np.ndarray, active: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Toxicity:
     """Embedding and softmax by joint gradient steps (Adagrad) over small batches of passages.
 
-    A bag holds numbers of words, `found` the buckets of every word. Batches are drawn once and come
-    in a new order in every epoch. Subwords that are not active have a zero vector that never moves;
-    they count in a word's mean and take no part in the steps.
+    A bag holds numbers of words, `found` the buckets of every word. Batches are drawn anew
+    in every epoch. Subwords that are not active have a zero vector that never moves; they count in a
+    word's mean and take no part in the steps.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
@@ -115,10 +115,9 @@ def fit_bags(bags: list[np.ndarray], found: list[np.ndarray], marks: np.ndarray,
     for bag in bags:
         parts = [table[w] for w in bag.tolist()]
         rows.append((np.concatenate([i for i, _ in parts]), np.concatenate([np.full(len(i), x / len(parts)) for i, x in parts])))
-    steps = [step_of([rows[i] for i in some], marks[some]) for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32))]
     for _ in range(epochs):
-        for k in rng.permutation(len(steps)):
-            ids, share, bag_begins, owner, order, begins, touched, target = steps[k]
+        for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
+            ids, share, bag_begins, owner, order, begins, touched, target = step_of([rows[i] for i in some], marks[some])
             hidden = np.add.reduceat(vectors[ids] * share, bag_begins)
             logits = hidden @ weights + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
