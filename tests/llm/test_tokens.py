@@ -38,6 +38,19 @@ def test_byte_ids_equal_the_files_library(byte_file, edge_rows, sample_rows):
         assert coder.encode(text or "").tolist() == byte_ids(byte_file, text)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_100 + "b c", "\n" * 1_200_000, "x  " + " \t" * 600_000 + "<|endoftext|>  y",
+                                  " " * 1_000_100 + "\n'll", "\u3000\xa0" * 550_000 + "\x1c1", "é" + "\n" * 1_100_000 + "z" + " " * 1_100_000])
+def test_byte_ids_of_long_white_space(byte_file, text):
+    coder = byte_tokens.byte_tokens(public_tokenizers.path(byte_tokens.FILE))
+    assert coder.encode(text).tolist() == byte_ids(byte_file, text)
+
+
+def test_long_white_space_is_packed(docs_of, byte_file):
+    rows = [(1, "a" + " " * 1_000_100 + "b"), (2, "c d")]
+    got = packing.pack_documents(docs_of(rows)).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in got} == {i: len(byte_ids(byte_file, t)) + 1 for i, t in rows}
+
+
 def test_word_bpe_equals_the_files_library(docs_of, word_file, edge_rows, sample_rows):
     odd = [(100 + i, t) for i, t in enumerate(["x\x1cy \x1d z", "á é", "'S 'LL don'T", "thea" * 60 + "ing", "word.\x85next",
                                                "<|startoftext|>A<|endoftext|>", "a b　c", "xyz" * 3000])]
