@@ -96,6 +96,30 @@ def test_replay_after_failure(spark, landing, monkeypatch):
     assert fired(spark, land) == [1, 5, 7, 60, 61]
 
 
+YEAR = 366 * 24 * 60
+ODD_TIMES = {
+    "a future row of another key": ([[tick(1, 1, 0.9), tick(2, 2, 0.1)], [tick(9, 3, 0.1, minutes=YEAR)], [tick(1, 4, 0.9), tick(2, 5, 0.9)]],
+                                    [1, 5]),
+    "a future row of the key": ([[tick(1, 1, 0.9)], [tick(1, 2, 0.9, minutes=YEAR)], [tick(1, 3, 0.9)], [tick(1, 4, 0.1)], [tick(1, 5, 0.9)]],
+                                [1, 2, 5]),
+    "late high rows": ([[tick(1, 10, 0.9), tick(2, 11, 0.1)], [tick(1, 5, 0.9), tick(2, 6, 0.9), tick(2, 12, 0.9)]], [10, 12]),
+    "a late low row": ([[tick(1, 10, 0.9)], [tick(1, 5, 0.1)], [tick(1, 39, 0.9)]], [10]),
+    "a late row and a newer one": ([[tick(1, 10, 0.9)], [tick(1, 5, 0.1), tick(1, 11, 0.9)]], [10]),
+    "a key that comes back": ([[tick(1, 1, 0.9)], [tick(2, 2, 0.9)], [tick(2, 30, 0.1)], [tick(1, 31, 0.9)], [tick(1, 62, 0.9)]], [1, 2, 62]),
+    "a row that comes twice": ([[tick(1, 1, 0.9)], [tick(1, 1, 0.9)]], [1]),
+}
+
+
+@pytest.mark.parametrize("case", ODD_TIMES)
+def test_edges_of_late_future_and_returning_rows(spark, landing, case):
+    land = landing()
+    batches, want = ODD_TIMES[case]
+    for rows in batches:
+        land.add(rows)
+    run_edges(land)
+    assert fired(spark, land) == want
+
+
 def test_snapshot_edges_forget_absent_keys(spark, landing):
     land = landing()
     for rows in ([tick(1, 1, 0.9)], [tick(1, 2, 0.9), tick(2, 3, 0.5)], [tick(2, 4, 0.9)], [tick(1, 5, 0.9), tick(2, 6, 0.9)]):

@@ -12,22 +12,29 @@ from tickloom.operators.tokens import latest_per_key
 
 
 def rising_edges(df: DataFrame, key: str, ts: str, tie: str, high: Column, ttl_seconds: int | None = None,
-                 block_seconds: int = 86400) -> DataFrame:
+                 block_seconds: int = 86400, seen: str | None = None) -> DataFrame:
     """Rows where `high` turns true for a key: true now, not true one row earlier.
 
     With `ttl_seconds` an earlier row older than that no longer counts. The
     earlier row crosses time blocks by a carry, so hot keys split by time.
+    `seen` names a struct (high, at in microseconds) that stands for the earlier
+    row of a key's first dated row; it is dropped from the result.
     """
     flagged = df.withColumn("_high", F.coalesce(high, F.lit(False)))
     state = F.struct(F.col("_high").alias("high"), F.unix_micros(F.col(ts)).alias("at"))
     carried = attach_carries(flagged, [key], time_block(ts, block_seconds), {
         "_before": (F.max_by(state, F.struct(ts, tie)), previous)})
     last = F.coalesce(F.lag(state).over(in_block([key], [ts, tie])), F.col("_before"))
-    seen = carried.withColumn("_last", last)
+    if seen is not None:
+        dated = F.col(ts).isNotNull() & F.col("_last.at").isNull()
+        carried = carried.withColumn("_last", last)
+        last = F.when(dated, F.coalesce(seen, "_last")).otherwise(F.col("_last"))
+    placed = carried.withColumn("_last", last)
     was_high = F.coalesce(F.col("_last.high"), F.lit(False))
     if ttl_seconds is not None:
         was_high = was_high & (F.unix_micros(F.col(ts)) - F.col("_last.at") <= ttl_seconds * 1_000_000)
-    return seen.where(F.col("_high") & ~was_high).drop("_tb", "_before", "_last", "_high")
+    extra = [] if seen is None else [seen]
+    return placed.where(F.col("_high") & ~was_high).drop("_tb", "_before", "_last", "_high", *extra)
 
 
 def payload_hash(fields: Sequence[str]) -> Column:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions import scores
-from tickloom.functions.times import seconds_interval
 from tickloom.operators import edges, tables
 from tickloom.operators.tokens import alerts, latest_per_key
 from tickloom.sources.payloads import read_agg_trades, read_kline_stream
@@ -94,23 +93,30 @@ def start_rising_edges(ticks: DataFrame, out: str, state: str, checkpoint: str,
                        tie: str = "metric_id", trigger: str | None = None) -> StreamingQuery:
     """Event mode: a row fires when its key was not high one row earlier.
 
-    The state is the last row of each key. It enters the batch as one more
-    earlier row, so no join on the key is needed; after `ttl_seconds` without a
-    row it no longer counts.
+    The state is the last row of each key that was ever seen, whatever the times
+    of other keys, and stands before the key's first row of a micro-batch; a
+    stored row more than `ttl_seconds` before a row does not count for it. A row
+    older than its key's stored row is late: it neither fires nor becomes the
+    state, as the alerts of that time are out. Only where it is older by more
+    than `ttl_seconds` (the stored one was dated in the future, or the clock was
+    set back) it becomes the state, and fires if high and the stored row was not.
     """
     rows = ticks.withColumn("_new", F.lit(True))
     slots = SlotState(ticks.sparkSession, state, rows.schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         old = slots.before(batch_id).withColumn("_new", F.lit(False))
-        together = old.unionByName(batch)
-        fired = edges.rising_edges(together, key, ts, tie, high, ttl_seconds).where("_new").drop("_new")
-        save_batch(fired, out, batch_id)
-        last = latest_per_key(together, [key], [ts, tie])
-        if ttl_seconds is not None:  # rows past their time cannot count any more
-            edge = together.agg(F.max(ts)).scalar() - seconds_interval(ttl_seconds)
-            last = last.where(F.col(ts) >= edge)
-        slots.save(batch_id, last)
+        stored = old.select(key, F.struct(F.coalesce(high, F.lit(False)).alias("high"), F.unix_micros(ts).alias("at")).alias("_seen"),
+                            F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("_place"))
+        late = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")) < F.col("_place")
+        if ttl_seconds is not None:
+            late = late & (F.col("_seen.at") - F.unix_micros(ts) <= ttl_seconds * 1_000_000)
+        late = late & F.col(ts).isNotNull()
+        kept = batch.join(stored, key, "left").where(~F.coalesce(late, F.lit(False))).drop("_place")
+        fired = edges.rising_edges(kept, key, ts, tie, high, ttl_seconds, seen="_seen")
+        save_batch(fired.select(*ticks.columns), out, batch_id)
+        together = old.unionByName(kept.drop("_seen")).withColumn("_dated", F.col(ts).isNotNull())
+        slots.save(batch_id, latest_per_key(together, [key], ["_dated", "_new", ts, tie]).drop("_dated"))
 
     return _each_batch(rows, handle, checkpoint, trigger)
 
