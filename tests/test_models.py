@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import datasets, models
+from tickloom.plans import signal_queries
 
 
 def test_horizon_models_learn_the_series(spark):
@@ -47,6 +48,51 @@ def test_fallback_and_registry(spark):
     assert len(listed) == 50 and (listed[0]["name"], listed[0]["n"], listed[1]["name"]) == ("fresh", None, "m59")
 
 
+@pytest.fixture
+def fits(monkeypatch):
+    """Settings and training rows of every fit; the fits themselves take two rounds."""
+    seen, gbt, train_horizons, train_tokens = [], models.gbt, models.train_horizons, models.train_tokens
+
+    def short(label, *args, **kw):
+        full = gbt(label, *args, **kw)
+        seen.append((full.getMaxDepth(), full.getMaxIter(), full.getStepSize(), full.getCheckpointInterval()))
+        return full.setMaxIter(2).setMaxDepth(2)
+
+    monkeypatch.setattr(models, "gbt", short)
+    rows = {}
+    monkeypatch.setattr(models, "train_horizons", lambda df, *a, **kw: train_horizons(rows.setdefault("train", df), *a, **kw))
+    monkeypatch.setattr(models, "train_tokens", lambda df, *a, **kw: train_tokens(rows.setdefault("train", df), *a, **kw))
+    return seen, rows
+
+
+def test_window_models_are_whole_and_keep_test_rows_apart(spark, fits):
+    seen, rows = fits
+    got = signal_queries.gbt_scores(spark, "/root/testdata/sf0.01").toPandas()
+    assert seen == [(6, 300, 0.05, 10)] * 3
+    train = rows["train"].selectExpr("size(features) AS width", "pos", "n_rows", "ts").toPandas()
+    n = train["n_rows"].iloc[0]
+    assert set(train["width"]) == {504} and train["pos"].min() == 167
+    assert train["pos"].max() + 24 < math.floor(n * 0.8) and train["ts"].max() < got["ts"].min()
+    assert len(got) == n - math.floor(n * 0.8) and got.notna().all().all()
+
+
+def test_token_model_learns_a_later_price(spark, fits):
+    seen, rows = fits
+    d = "/root/testdata/sf0.01"
+    got = signal_queries.token_alpha(spark, d)
+    assert seen == [(6, 300, 0.05, 10)]
+    train = rows["train"].toPandas()
+    assert got.count() == signal_queries.enriched(spark, d).count() > 0
+    for f in set(models.TOKEN_FEATURES) & set(train.columns):
+        assert abs(np.corrcoef(train[f].astype(float), train["alpha_target"])[0, 1]) < 0.95 or train[f].nunique() == 1
+    old = spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "value + 1.0 AS price", "ts")
+    last = old.agg(F.max("ts")).first()[0]
+    price = {k: old.where(F.col("ts") <= at).groupBy("user_id").agg(F.max_by("price", "ts").alias("p")).toPandas().set_index("user_id")["p"]
+             for k, at in (("then", last - pd.Timedelta(days=7)), ("now", last))}
+    want = (price["now"] / price["then"] - 1.0).dropna()
+    assert sorted(train["alpha_target"]) == pytest.approx(sorted(want), rel=1e-9)
+
+
 def test_prediction_rows(spark):
     out = spark.createDataFrame([(7, 0.1, -1.0, 0.0, 0.2, -2.0, 1.0)],
                                 "k int, mu_1h double, log_sigma_1h double, logit_1h double, mu_4h double, log_sigma_4h double, logit_4h double")

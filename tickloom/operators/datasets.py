@@ -40,8 +40,11 @@ def window_dataset(matrix: DataFrame, features: Sequence[str], labels: Sequence[
 
 
 def flat_windows(spread: DataFrame, rows: int = 168, eps: float = 1e-8, block_rows: int = 65536,
-                 horizons: dict[str, int] = HORIZONS) -> DataFrame:
-    """One vector per row: `rows` spreads, then z-scored volumes of both legs, with deltas."""
+                 horizons: dict[str, int] = HORIZONS, labelled: bool = True) -> DataFrame:
+    """One vector per row: `rows` spreads, then z-scored volumes of both legs, with deltas.
+
+    Rows whose deltas would need rows past the end are left out unless `labelled` is false; their deltas then mean nothing.
+    """
     s = SeriesBlocks(SERIES_KEYS, ("ts",), spread_blocks().block, back=rows - 1, ahead=max(horizons.values()),
                      block_rows=block_rows)
     df = s.open(spread, means=["leg1_volume", "leg2_volume"]).withColumns({
@@ -55,8 +58,8 @@ def flat_windows(spread: DataFrame, rows: int = 168, eps: float = 1e-8, block_ro
         **{n: c for n, c in targets(s, "spread_log", horizons).items() if n.startswith("y_")},
     })
     last = max(horizons.values())
-    kept = s.close(df).where((F.col("pos") >= rows - 1) & (F.col("pos") < F.col("n_rows") - last))
-    return kept.select(*s.keys, "ts", "features", *[f"y_{h}" for h in horizons])
+    kept = s.close(df).where((F.col("pos") >= rows - 1) & (F.col("pos") < F.col("n_rows") - (last if labelled else 0)))
+    return kept.select(*s.keys, "ts", "pos", "n_rows", "features", *[f"y_{h}" for h in horizons])
 
 
 def time_split(df: DataFrame, share: float = 0.8) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -28,9 +30,9 @@ def numeric_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def gbt(label: str, features_col: str = "features", depth: int = 6, step: float = 0.05, rounds: int = 300,
-        seed: int = 0) -> GBTRegressor:
+        seed: int = 0, checkpoint_rounds: int = 10) -> GBTRegressor:
     return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol="raw", maxDepth=depth, stepSize=step,
-                        maxIter=rounds, lossType="squared", seed=seed)
+                        maxIter=rounds, lossType="squared", seed=seed, checkpointInterval=checkpoint_rounds)
 
 
 def train_tokens(df: DataFrame, label: str, features: Sequence[str] = TOKEN_FEATURES, **kw) -> PipelineModel:
@@ -46,9 +48,11 @@ def score_tokens(df: DataFrame, model: PipelineModel, features: Sequence[str] =
 
 
 def train_horizons(flat: DataFrame, horizons: Sequence[str], **kw) -> dict[str, object]:
-    """One boosted-tree model per horizon over the flat window vectors."""
+    """One boosted-tree model per horizon over the flat window vectors; the fits run side by side."""
     data = flat.withColumn("features", array_to_vector("features"))
-    return {h: gbt(f"y_{h}", **kw).fit(data) for h in horizons}
+    fit = inheritable_thread_target(flat.sparkSession)(lambda h: gbt(f"y_{h}", **kw).fit(data))
+    with ThreadPoolExecutor(len(horizons)) as pool:
+        return dict(zip(horizons, pool.map(fit, horizons), strict=True))
 
 
 def score_horizons(flat: DataFrame, models: Mapping[str, object]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import scores
-from tickloom.functions.math import exponent_text, fixed_text, percent_text, rounded
+from tickloom.functions.math import exponent_text, fixed_text, percent_text, rounded, safe_divide
 from tickloom.functions.text import base_asset, dashed_product, quote_asset
 from tickloom.functions.times import interval_minutes, interval_seconds, iso_text, timestamp_to_millis
 from tickloom.operators import datasets, models, portfolio, reports, signals
@@ -248,22 +248,38 @@ def model_registry(spark, d):
 
 
 def gbt_scores(spark, d):
-    """Boosted trees per horizon, trained on the first 80 % of each series, scored on the rest."""
-    m = features(spark, d, min_history=1).withColumn("features", F.array(*feature_ops.FEATURES))
+    """Boosted trees per horizon on flat window vectors, trained on the first 80 % of each series, scored on the rest.
+
+    Training stops as many rows before the rest as the longest label looks ahead.
+    Where no series is long enough for a training window of 168 rows, windows are shorter.
+    """
+    spread = views.spread(spark, d)
+    gap = max(feature_ops.HORIZONS.values())
+    longest = spread.groupBy("exchange", "pair").count().agg(F.max("count")).first()[0] or 0
+    usable = int(longest * 0.8) - gap
+    rows = 168 if usable >= 168 else max(1, usable // 2)
     # The fit passes over the training rows once per round; a reliable
     # checkpoint keeps those passes off the feature plan.
-    split = cut_lineage(datasets.time_split(m.select("pair", "ts", "pos", "n_rows", "features", "y_1h", "y_4h", "y_24h")))
-    fitted = models.train_horizons(split.where(F.col("split") == "train"), list(feature_ops.HORIZONS), depth=3, rounds=5)
+    split = cut_lineage(datasets.time_split(datasets.flat_windows(spread, rows, labelled=False)))
+    train = split.where((F.col("split") == "train") & (F.col("pos") < F.floor(F.col("n_rows") * 0.8) - gap))
+    fitted = models.train_horizons(train, list(feature_ops.HORIZONS))
     return models.score_horizons(split.where(F.col("split") == "test"), fitted).select(
         "pair", "ts", *[rounded(f"mu_{h}").alias(f"mu_{h}") for h in feature_ops.HORIZONS])
 
 
 def token_alpha(spark, d):
-    """Token model: trained on live tokens, alpha = logistic of the raw score."""
-    tokens = enriched(spark, d).withColumn("buys_vs_sells_ratio", F.col("velocity"))
-    data = cut_lineage(tokens.withColumn("alpha_target", F.col("velocity") - 0.1))
-    model = models.train_tokens(data, "alpha_target", depth=3, rounds=5)
-    return models.score_tokens(data, model).select("symbol", rounded("alpha").alias("alpha"))
+    """Token model: trained on tokens as they were a week ago, with the price change since as the label, scored on live tokens."""
+    def inputs(back):
+        return enriched(spark, d, back).withColumn("buys_vs_sells_ratio", F.col("velocity"))
+
+    def price(back, name):
+        return views.live(spark, d, back).join(views.tokens(spark, d), "token_id").select(
+            F.col("mint").alias("symbol"), F.col("price").alias(name))
+
+    before = inputs(7 * DAY).join(price(7 * DAY, "price_then"), "symbol").join(price(0, "price_now"), "symbol")
+    train = before.withColumn("alpha_target", safe_divide("price_now", "price_then") - 1.0).where("alpha_target IS NOT NULL")
+    model = models.train_tokens(cut_lineage(train), "alpha_target")
+    return models.score_tokens(cut_lineage(inputs(0)), model).select("symbol", rounded("alpha").alias("alpha"))
 
 
 WEIGHTED = f"sum(({SENTIMENT_SQL}) * weight) / nullif(sum(weight), 0)"

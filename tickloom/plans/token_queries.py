@@ -112,9 +112,9 @@ def token_history(spark, d):
         .select("metric_time", "price", "pump_probability")
 
 
-def _market(spark, d):
+def _market(spark, d, back_seconds=0):
     """Market data per symbol: from live tokens joined to their dimension name."""
-    live = views.live(spark, d).join(views.tokens(spark, d), "token_id")
+    live = views.live(spark, d, back_seconds).join(views.tokens(spark, d), "token_id")
     return live.select(
         F.col("mint").alias("symbol"), "marketcap", (F.col("marketcap") * 0.1).alias("liquidityusd"),
         (F.col("volume_5m") * 100).alias("volumeusd"), (F.col("buys_1h") + F.col("sells_1h")).alias("tradecount"),
@@ -160,8 +160,8 @@ MARKET_CTES = {
 }
 
 
-def enriched(spark, d):
-    return ops.enrich_tokens(_trending(spark, d), _market(spark, d), _social(spark, d), _known(spark, d))
+def enriched(spark, d, back_seconds=0):
+    return ops.enrich_tokens(_trending(spark, d), _market(spark, d, back_seconds), _social(spark, d), _known(spark, d))
 
 
 def token_enrich(spark, d):

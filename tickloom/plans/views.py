@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.times import seconds_interval
 from tickloom.operators.candles import candles_from_trades, pair_spread
 from tickloom.operators.tokens import token_live
 from tickloom.session import prepare
@@ -82,10 +83,14 @@ def as_of(df: DataFrame, column: str) -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest state per token. Sparse events: 1 and 7 days stand for 5 min and 1 h."""
+def live(spark: SparkSession, sf_dir: str, back_seconds: int = 0) -> DataFrame:
+    """Latest state per token, `back_seconds` before the newest instant. Sparse events: 1 and 7 days stand for 5 min and 1 h."""
     metrics = token_metrics(spark, sf_dir)
-    return token_live(metrics, as_of(metrics, "metric_time"), short_seconds=DAY, long_seconds=7 * DAY)
+    now = as_of(metrics, "metric_time")
+    if back_seconds:
+        now = now - seconds_interval(back_seconds)
+        metrics = metrics.where(F.col("metric_time") <= now)
+    return token_live(metrics, now, short_seconds=DAY, long_seconds=7 * DAY)
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
