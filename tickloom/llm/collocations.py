@@ -26,11 +26,11 @@ UNDETERMINED = "und"
 MARK = b"\xff"
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", MARK * 10 + b" ")
 #: Words of a shard, words taken from a text at a time, and words that a prefix range holds on average.
-SHARD_WORDS, SLICE, RANGE_WORDS = 2_500_000, 500_000, 4_000_000
+SHARD_WORDS, SLICE, RANGE_WORDS = 1_000_000, 250_000, 1_500_000
 #: Documents and windows drawn, on average, to place the borders of the ranges; results do not depend on them.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 400_000
 #: Rows of a united automaton that are held before shards are summed.
-HELD = 6_000_000
+HELD = 2_500_000
 Path = tuple[bytes, bytes, bytes]
 
 
