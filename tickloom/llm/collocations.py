@@ -275,6 +275,8 @@ def shard_automata(documents: DataFrame, borders: list[tuple[str, Path]]) -> Dat
     def made(batches):
         def flushed(shards: dict[str, Shard]):
             for lang, shard in shards.items():
+                if not shard.parts:
+                    continue
                 low = bisect_left(borders, (lang,))
                 own = [path for name, path in borders[low:] if name == lang]
                 for number, part in cut(*shard.windows(), own):
