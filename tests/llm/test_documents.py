@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import doc_fingerprints, permute, quality_crf, sharding, simhash_dedup, toxicity, warc
+from tickloom.llm import doc_fingerprints, packing, permute, quality_crf, sharding, simhash_dedup, toxicity, warc
 from tickloom.llm.common import filesystem, new_folder, table
 from tickloom.llm.components import components
 from tickloom.llm.labelled import labelled_sample
@@ -219,6 +219,58 @@ def test_viterbi_is_the_best_of_all_paths():
         assert tuple(field.viterbi(rows)) == max(itertools.product((0, 1), repeat=n), key=value)
 
 
+def hidden_sample(rng, documents):
+    return [(rng.normal(size=(n, quality_crf.N_FEATURES)), rng.integers(1, 20, n), m) for n, m in documents]
+
+
+def test_sums_over_hidden_lines_are_those_over_all_paths():
+    rng = np.random.default_rng(6)
+    documents = hidden_sample(rng, [(1, 0), (4, 1), (2, 1), (6, 0), (4, 0)])
+    params = rng.normal(size=2 * quality_crf.N_FEATURES + 6)
+    weights, steps, first = quality_crf.unpacked(params)
+    held = quality_crf.Sample(documents, 4.0)
+    expected = 0.0
+    for rows, words, mark in documents:
+        emitted = rows @ weights
+
+        def value(path):
+            return first[path[0]] + sum(emitted[i, s] for i, s in enumerate(path)) + sum(steps[a, b] for a, b in itertools.pairwise(path))
+
+        paths = list(itertools.product((0, 1), repeat=len(rows)))
+        free = sum(math.exp(value(p)) for p in paths)
+        told = sum(math.exp(value(p) + 4.0 * sum(words[i] for i, s in enumerate(p) if s == mark) / words.sum()) for p in paths)
+        alike = sum(m == mark for _, _, m in documents)
+        expected += 0.5 / alike / len(rows) * (math.log(free) - math.log(told))
+    assert held.loss(params, 0.0, 0.0)[0] == pytest.approx(expected, rel=1e-9)
+
+
+def test_slope_of_the_field_by_finite_differences():
+    rng = np.random.default_rng(7)
+    held = quality_crf.Sample(hidden_sample(rng, [(3, 0), (5, 1), (1, 1), (9, 0)]), 4.0)
+    params = rng.normal(size=2 * quality_crf.N_FEATURES + 6)
+    slope = held.loss(params, 1e-3, 3e-2)[1]
+    for i in range(len(params)):
+        step = np.zeros_like(params)
+        step[i] = 1e-5
+        change = (held.loss(params + step, 1e-3, 3e-2)[0] - held.loss(params - step, 1e-3, 3e-2)[0]) / 2e-5
+        assert slope[i] == pytest.approx(change, abs=1e-8)
+
+
+def test_lines_differ_from_their_document(labelled):
+    """Held-out documents hold lines of both states, and a planted one is decoded line by line."""
+    documents, labels = labelled
+    field = quality_crf.quality_model(documents, labels)
+    held = documents.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0 and text is not null").collect()
+    shares = [field.content_share(r["text"]) for r in held]
+    assert sum(0 < x < 1 for x in shares) >= 2
+    good = next(r["text"] for r in held if r["quality"] == 1 and r["lang"] == "en" and 3 <= len(r["text"].split("\n")) and len(r["text"]) > 600)
+    lines = [x for x in good.split("\n") if x.strip()]
+    junk = ["HOME | LOGIN | $$$ | 12345 | ###", "buy!! now!! buy!! now!! 99$ | 99$ | 99$", "HOME | LOGIN | $$$ | 12345 | ###"] * 4
+    states = field.viterbi(quality_crf.lines_of("\n".join(lines + junk))[0])
+    assert states[:len(lines)].mean() >= 0.8 and states[len(lines):].mean() <= 0.1
+    assert 0 < field.content_share("\n".join(lines + junk)) < 1
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     d = "/root/testdata/sf0.01"
@@ -261,6 +313,45 @@ def test_unseen_misspellings_share_subwords():
     assert model.score("") < 0.5
 
 
+def test_one_of_each_decides_by_row(spark, docs_of):
+    a, b, c = "a b c d e f g", "quite other words stand here now", "nothing like the others at all"
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (9, a), (None, a), (None, None), (10, None), (11, "")]
+    for parts in (1, 4):
+        kept = simhash_dedup.one_of_each(docs_of(rows).repartition(parts)).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+            [(1, a), (5, b), (9, c), (10, None), (None, a), (None, None)], key=repr)
+    empty = simhash_dedup.one_of_each(docs_of(rows).limit(0))
+    assert empty.count() == 0 and empty.columns == docs_of(rows).columns
+
+
+def test_sample_is_a_function_of_the_rows(spark):
+    """Conflicting labels, several texts of a doc_id and the layout change nothing."""
+    documents = [(i, f"text of document {i} " * (1 + i % 7)) for i in range(60)] + [(5, "another text of five"), (6, None), (7, ""), (5, "zzz")]
+    labels = [(i, i % 2, 0) for i in range(60)] + [(5, 0, 0), (7, 1, 0), (8, 1, 0), (None, 1, 0), (9, None, 0), (90, 1, 0)]
+    samples = []
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(documents, "doc_id long, text string").repartition(parts)
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int, quality int").repartition(parts)
+        samples.append(labelled_sample(docs, marks, "toxic", 10))
+    assert samples[0] == samples[1] == samples[2] and [m for _, m in samples[0]] == [0] * 10 + [1] * 10
+    whole = labelled_sample(docs, marks, "toxic", 1000)
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0}
+    learnt = {t: m for t, m in whole}
+    for i in set(range(60)) - held - {5}:
+        assert learnt[documents[i][1]] == (0 if i in (5, 8) else i % 2)
+    assert len(whole) == 60 - len(held)
+    if 5 not in held:
+        assert sum(t in (documents[5][1], "another text of five", "zzz") for t in learnt) == 1
+
+
+def test_sample_takes_long_documents_up_to_a_total(spark):
+    documents = spark.createDataFrame([(i, "x" * (30_000 if i == 1 else 100)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, toxic int")
+    assert any(len(t) == 30_000 for t, _ in labelled_sample(documents, labels, "toxic", 100))
+    small = labelled_sample(documents, labels, "toxic", 100, most_drawn=1000)
+    assert len(small) == 10 and all(len(t) == 100 for t, _ in small)
+
+
 def test_sample_leaves_the_held_out_fold(labelled):
     documents, labels = labelled
     held = {r["text"] for r in documents.where("crc32(cast(doc_id as string)) % 5 = 0").collect()}
@@ -285,5 +376,35 @@ def test_pipeline(spark):
             if (prints[a] ^ prints[b]).bit_count() <= 3:
                 names[a] = names[b] = min(names[a], names[b])
     want = {r["doc_id"] for r, n in zip(rows, names, strict=True) if n == r["doc_id"]}
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == want
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r["doc_id"] for r in out} == want
+    # The packing columns are those of the packing operator over just the documents that stay.
+    kept = docs.where(F.col("doc_id").isin(sorted(want)))
+    alone = packing.pack_documents(kept).collect()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(tuple(r[c] for c in key) for r in out) == sorted(tuple(r[c] for c in key) for r in alone)
+    ends = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024 and len(ends) == len({r["sequence_id"] for r in alone})
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "packing"]
+
+
+def test_pipeline_stages_at_the_edges(spark, docs_of, edge_rows):
+    """Odd rows, clashing columns and an empty table go through every stage."""
+    d = "/root/testdata/sf0.001"
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for rows in (edge_rows, []):
+        docs = docs_of(rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, d)
+            assert docs.columns == columns, name
+            # What a stage lets through, it lets through as it was.
+            assert {(r["doc_id"], r["text"]) for r in docs.collect()} <= set(rows), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+    # NULL, empty and wordless texts have too few words to be kept; of two equal rows one is.
+    good = "The quick words of this line are all of them quite plain and short, and they go on.\n"
+    stay = corpus_pipeline.drop_near_copies(spark, docs_of([(1, good), (1, good), (2, good), (3, None), (4, "")]), d)
+    assert sorted(r["doc_id"] for r in stay.collect()) == [1, 3]

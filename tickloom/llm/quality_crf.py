@@ -22,6 +22,8 @@ COLUMNS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
            "base_failed boolean, kept boolean, content_share double")
 #: A document stays if this share of its words is in lines of content.
 LEAST_CONTENT = 0.5
+#: How much the label of a document says of all its lines together (a log of odds).
+PULL = 4.0
 N_FEATURES = 12
 
 
@@ -114,40 +116,37 @@ class LineField:
         return float(sizes[self.viterbi(rows) == 1].sum() / sizes.sum()) if len(sizes) else 1.0
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> LineField:
-    """Conditional likelihood by forward and backward sums, all documents of a step at once (Adam).
+class Sample:
+    """Lines of labelled documents, laid out for forward and backward sums over all documents at once.
 
-    There are no labels of lines: a line takes its document's. Lines that occur in good and bad
-    documents alike then say little by themselves and follow their neighbours. Without documents of
-    both classes every line is content.
+    Documents are sorted by length, so those still running at a line are the first ones. Lines are laid
+    out by place, then document: row begins[t] + i is line t of document i, and nothing is padded.
     """
-    neutral = LineField(np.stack([np.zeros(N_FEATURES), np.eye(N_FEATURES)[0]], axis=1), np.zeros((2, 2)), np.zeros(2))
-    pairs = [(lines_of(t)[0], m) for t, m in sample]
-    pairs = sorted(((r, m) for r, m in pairs if len(r)), key=lambda x: -len(x[0]))
-    if len({m for _, m in pairs}) < 2:
-        return neutral
-    marks = np.array([m for _, m in pairs])
-    sizes = np.array([len(r) for r, _ in pairs])
-    # Documents are sorted by length, so those still running at a line are the first ones. Lines are laid
-    # out by place, then document: row begins[t] + i is line t of document i, and nothing is padded.
-    running = [int((sizes > t).sum()) for t in range(int(sizes[0]))]
-    begins = np.append(0, np.cumsum(running))
-    owner = np.concatenate([np.arange(k) for k in running])
-    place = np.repeat(np.arange(len(running)), running)
-    starts = np.append(0, np.cumsum(sizes))[:-1]
-    lines = np.concatenate([r for r, _ in pairs])[starts[owner] + place]
-    at = [slice(int(begins[t]), int(begins[t + 1])) for t in range(len(running))]
-    # Of every line but the first of a document, its own row and the row of the line before.
-    later = np.arange(running[0], len(lines))
-    earlier = begins[place[later] - 1] + owner[later]
-    each = np.where(marks == 1, 0.5 / max(1, (marks == 1).sum()), 0.5 / max(1, (marks == 0).sum()))
-    scale, truth = (each / sizes)[owner, None], np.eye(2)[marks][owner]
-    pairs_truth = truth[later, :, None] * truth[later, None, :]
-    params = np.zeros(2 * N_FEATURES + 6)
-    m1, m2 = np.zeros_like(params), np.zeros_like(params)
-    for turn in range(1, rounds + 1):
-        weights, steps, first = params[:2 * N_FEATURES].reshape(N_FEATURES, 2), params[2 * N_FEATURES:-2].reshape(2, 2), params[-2:]
-        emitted = lines @ weights
+
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray, int]], pull: float):
+        """(features of the lines, words of the lines, mark) of documents with lines."""
+        pairs = sorted(pairs, key=lambda x: -len(x[0]))
+        marks = np.array([m for _, _, m in pairs])
+        sizes = np.array([len(r) for r, _, _ in pairs])
+        self.running = [int((sizes > t).sum()) for t in range(int(sizes[0]))]
+        self.begins = np.append(0, np.cumsum(self.running))
+        self.owner = np.concatenate([np.arange(k) for k in self.running])
+        place = np.repeat(np.arange(len(self.running)), self.running)
+        row = (np.append(0, np.cumsum(sizes))[:-1])[self.owner] + place
+        self.lines = np.concatenate([r for r, _, _ in pairs])[row]
+        self.at = [slice(int(self.begins[t]), int(self.begins[t + 1])) for t in range(len(self.running))]
+        # Of every line but the first of a document, its own row and the row of the line before.
+        self.later = np.arange(self.running[0], len(self.lines))
+        self.earlier = self.begins[place[self.later] - 1] + self.owner[self.later]
+        each = np.where(marks == 1, 0.5 / max(1, (marks == 1).sum()), 0.5 / max(1, (marks == 0).sum()))
+        self.each = each / sizes
+        # What the label says of a line: `pull` per document, dealt by the words of its lines.
+        share = np.concatenate([w / w.sum() for _, w, _ in pairs])[row]
+        self.hint = pull * share[:, None] * np.eye(2)[marks][self.owner]
+
+    def sums(self, emitted: np.ndarray, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log of the sum over all labellings of every document, probabilities of lines and of neighbouring lines."""
+        at, running, begins = self.at, self.running, self.begins
         ahead = np.empty_like(emitted)
         ahead[at[0]] = emitted[at[0]] + first
         for t in range(1, len(at)):
@@ -157,14 +156,57 @@ def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, dec
         for t in range(len(at) - 2, -1, -1):
             after = behind[at[t + 1]] + emitted[at[t + 1]]
             behind[begins[t]:begins[t] + running[t + 1]] = np.logaddexp(after[:, 0:1] + steps[:, 0], after[:, 1:2] + steps[:, 1])
-        total = np.logaddexp(*(ahead[at[0]] + behind[at[0]]).T)[owner]
-        surplus = (np.exp(ahead + behind - total[:, None]) - truth) * scale
-        both = np.exp(ahead[earlier][:, :, None] + steps + (emitted + behind)[later][:, None, :] - total[later, None, None])
-        slope_s = ((both - pairs_truth) * scale[later, :, None]).sum(axis=0)
-        slope = np.concatenate([(lines.T @ surplus).ravel(), slope_s.ravel(), surplus[at[0]].sum(axis=0)]) + decay * params
+        total = np.logaddexp(*(ahead[at[0]] + behind[at[0]]).T)
+        whole = total[self.owner]
+        both = np.exp(ahead[self.earlier][:, :, None] + steps + (emitted + behind)[self.later][:, None, :] - whole[self.later, None, None])
+        return total, np.exp(ahead + behind - whole[:, None]), both
+
+    def loss(self, params: np.ndarray, decay: float, change_decay: float) -> tuple[float, np.ndarray]:
+        """Minus the log of what the labels say under the field, and its slope.
+
+        States of lines are hidden. A labelling s of a document counts exp(hint of s) times: the sum over
+        all labellings with the hints, over the sum without, is what the document's label is worth.
+        """
+        weights, steps, first = unpacked(params)
+        emitted = self.lines @ weights
+        free, one, two = self.sums(emitted, steps, first)
+        told, one_told, two_told = self.sums(emitted + self.hint, steps, first)
+        scale = self.each[self.owner]
+        surplus = (one - one_told) * scale[:, None]
+        slope_s = ((two - two_told) * scale[self.later, None, None]).sum(axis=0)
+        held = np.full(len(params), decay)
+        held[2 * N_FEATURES:-2] = change_decay
+        slope = np.concatenate([(self.lines.T @ surplus).ravel(), slope_s.ravel(), surplus[self.at[0]].sum(axis=0)]) + held * params
+        return float((self.each * (free - told)).sum() + 0.5 * (held * params ** 2).sum()), slope
+
+
+def unpacked(params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return params[:2 * N_FEATURES].reshape(N_FEATURES, 2), params[2 * N_FEATURES:-2].reshape(2, 2), params[-2:]
+
+
+def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, change_decay: float = 3e-2,
+        pull: float = PULL) -> LineField:
+    """A field whose lines are hidden states: labels are of documents, no line has one.
+
+    A document's label pulls its lines towards its state, a line by its share of the words and all of
+    them by `pull` together; what each line is comes out of all documents at once, so that lines of a kind
+    found in good and bad documents alike go their own way within a document. Steps between states begin
+    at zero and are held near it, a change up and a change down alike. All documents of a step at once
+    (Adam). Without documents of both classes every line is content.
+    """
+    neutral = LineField(np.stack([np.zeros(N_FEATURES), np.eye(N_FEATURES)[0]], axis=1), np.zeros((2, 2)), np.zeros(2))
+    pairs = [(*lines_of(t), m) for t, m in sample]
+    pairs = [p for p in pairs if len(p[0])]
+    if len({m for _, _, m in pairs}) < 2:
+        return neutral
+    held = Sample(pairs, pull)
+    params = np.zeros(2 * N_FEATURES + 6)
+    m1, m2 = np.zeros_like(params), np.zeros_like(params)
+    for turn in range(1, rounds + 1):
+        slope = held.loss(params, decay, change_decay)[1]
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope ** 2
         params = params - rate * (m1 / (1 - 0.9 ** turn)) / (np.sqrt(m2 / (1 - 0.999 ** turn)) + 1e-8)
-    return LineField(params[:2 * N_FEATURES].reshape(N_FEATURES, 2), params[2 * N_FEATURES:-2].reshape(2, 2), params[-2:])
+    return LineField(*unpacked(params))
 
 
 def quality_model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineField:

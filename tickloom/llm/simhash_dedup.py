@@ -17,7 +17,7 @@ SEED = 42
 #: A shard of the tree holds about sqrt(n) * SHARD_ROOT fingerprints, SHARD_ROWS at least; inside, the
 #: tree goes on to groups of SMALL. With sqrt(n) shards the boundary copies grow as n ** 0.28 per row.
 SHARD_ROWS, SHARD_ROOT, SMALL = 4096, 16, 256
-#: Fingerprints drawn to place the vantage points of the shards (a documented bound).
+#: Fingerprints drawn on average to place the vantage points of the shards (a documented bound).
 SAMPLE_ROWS = 65_536
 BLOCK = 1 << 16
 
@@ -42,15 +42,15 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, bits (the fingerprint as a signed 64-bit number)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+    """doc_id, text_hash, bits (the fingerprint as a signed 64-bit number)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bits", pa.int64())])
 
     def made(batches):
-        yield from batched(((doc_id, int(np.uint64(fingerprint(text)).astype(np.int64))) for doc_id, text in rows_of(batches)),
-                           schema)
+        yield from batched(((doc_id, known, int(np.uint64(fingerprint(text)).astype(np.int64)))
+                            for doc_id, known, text in rows_of(batches)), schema)
 
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(
-        made, "doc_id long, bits long")
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(
+        made, "doc_id long, text_hash long, bits long")
 
 
 def split_radius(distances: np.ndarray, radius: int) -> int | None:
@@ -160,8 +160,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """
     n = distinct.count()
     size = max(SHARD_ROWS, SHARD_ROOT * math.isqrt(n))
-    drawn = distinct.orderBy(F.xxhash64("bits")).limit(SAMPLE_ROWS).collect() if n > size else []
-    sample = np.array([r["bits"] for r in drawn], np.int64).astype(np.uint64)
+    below = int(min(1.0, SAMPLE_ROWS / max(1, n)) * 2**53)
+    drawn = distinct.where(F.shiftrightunsigned(F.xxhash64("bits"), 11) < below).collect() if n > size else []
+    sample = np.sort(np.array([r["bits"] for r in drawn], np.int64).astype(np.uint64))
     # Shards of the sample shrink in proportion; below 64 rows its medians say little.
     plan = tree(sample, radius, max(64, size * len(sample) / max(n, 1))) if len(sample) else None
 
@@ -213,26 +214,43 @@ def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
     collapse to one fingerprint before any search. An empty table gives no rows.
     """
     prints = stage(fingerprints(documents), "fingerprints")
+    return prints.join(named_groups(prints, radius), "bits").select(
+        "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def named_groups(prints: DataFrame, radius: int) -> DataFrame:
+    """bits, root (smallest fingerprint of the group), component_id (its smallest doc_id) for every distinct fingerprint."""
     distinct = stage(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
     groups = components(near_links(distinct, radius))
     rooted = distinct.join(groups.withColumnRenamed("node", "bits"), "bits", "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     rooted = stage(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("bits", "component_id")
-    return prints.join(named, "bits").select(
-        "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(names, "root").select("bits", "root", "component_id")
+
+
+#: What tells rows with a doc_id apart.
+ROW_KEY = ("doc_id", "_text")
 
 
 def one_of_each(documents: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents whose doc_id names their component, all columns as they are.
+    """One row of every group of near copies, all columns as they are.
 
-    Of rows that share such a doc_id one stays. Rows with a NULL doc_id cannot be named and stay.
+    Groups are those of `near_duplicates`, and a row belongs to the group of its own text: it is told
+    apart by doc_id and text, so one doc_id on texts of two groups stands for each of them on its own.
+    Of a group the row with the smallest doc_id stays, one of its texts and one of equal rows. Rows with a
+    NULL doc_id cannot be named and stay. A NULL text counts as empty. An empty table gives no rows.
     """
-    groups = stage(near_duplicates(documents, radius).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = stage(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    # The ids that go grow with the corpus, so they are merged in a shuffle at every size, never broadcast.
-    single = documents.join(gone.unionByName(repeated).hint("merge"), "doc_id", "left_anti")
-    return single.unionByName(documents.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(
+    prints = stage(fingerprints(documents), "fingerprints")
+    rows = prints.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash", "bits").agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = stage(rows.join(named_groups(prints, radius), "bits").select(
+        "root", "doc_id", F.col("text_hash").alias("_text"), "_rows"), "groups")
+    first = keyed.groupBy("root").agg(F.min(F.struct(*ROW_KEY)).alias("_first"))
+    marked = stage(keyed.join(first, "root").select(*ROW_KEY, "_rows", (F.col("_first") == F.struct(*ROW_KEY)).alias("_stays")), "marked")
+    gone = marked.where(~F.col("_stays")).select(*ROW_KEY)
+    repeated = marked.where("_stays AND _rows > 1").select(*ROW_KEY)
+    told = documents.withColumn("_text", F.xxhash64(text_or_empty()))
+    # The rows that go grow with the corpus, so they are merged in a shuffle at every size, never broadcast.
+    single = told.join(gone.unionByName(repeated).hint("merge"), list(ROW_KEY), "left_anti")
+    return single.unionByName(told.join(repeated, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY))).select(
         *documents.columns)
