@@ -47,6 +47,18 @@ def block_seconds_for(df: DataFrame, keys: Sequence[str], ts: str, target_rows:
     return int(min(widest, max(narrowest, target_rows * 3600 // densest)))
 
 
+def prefix_for(df: DataFrame, keys: Sequence[str], name: str, target_rows: int = 1_000_000,
+               lengths: Sequence[int] = (0, 1, 2, 3, 4, 6, 8, 12, 16, 32)) -> int:
+    """The fewest leading characters of `name` at which no series has more than `target_rows` rows of one prefix.
+
+    One aggregation, of which a row per length comes back; the longest length where none is enough.
+    """
+    each = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring(name, 1, n).alias("p")) for n in lengths])).alias("c"))
+    most = each.groupBy(*keys, "c").count().groupBy("c.n").agg(F.max("count").alias("most")).where(F.col("most") <= target_rows)
+    found = most.agg(F.min("n")).first()[0]
+    return max(lengths) if found is None else found
+
+
 def before(agg: Callable[[Column], Column]) -> Callable[[Column, WindowSpec], Column]:
     """Carry: `agg` over all earlier blocks of the series."""
     return lambda c, w: agg(c).over(w.rowsBetween(Window.unboundedPreceding, -1))

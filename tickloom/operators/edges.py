@@ -7,51 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import attach_carries, in_block, previous, time_block
-from tickloom.operators.tokens import latest_per_key
+from tickloom.operators.blocks import attach_carries, block_seconds_for, in_block, previous, time_block
 
 
 def rising_edges(df: DataFrame, key: str, ts: str, tie: str, high: Column, ttl_seconds: int | None = None,
-                 block_seconds: int = 86400, seen: str | None = None) -> DataFrame:
+                 block_seconds: int | None = None) -> DataFrame:
     """Rows where `high` turns true for a key: true now, not true one row earlier.
 
     With `ttl_seconds` an earlier row older than that no longer counts. The
-    earlier row crosses time blocks by a carry, so hot keys split by time.
-    `seen` names a struct (high, at in microseconds) that stands for the earlier
-    row of a key's first dated row; it is dropped from the result.
+    earlier row crosses time blocks by a carry, so hot keys split by time; the
+    blocks are as wide as the densest hour of a key allows, unless given.
     """
     flagged = df.withColumn("_high", F.coalesce(high, F.lit(False)))
     state = F.struct(F.col("_high").alias("high"), F.unix_micros(F.col(ts)).alias("at"))
-    carried = attach_carries(flagged, [key], time_block(ts, block_seconds), {
+    seconds = block_seconds or block_seconds_for(df, [key], ts)
+    carried = attach_carries(flagged, [key], time_block(ts, seconds), {
         "_before": (F.max_by(state, F.struct(ts, tie)), previous)})
-    last = F.coalesce(F.lag(state).over(in_block([key], [ts, tie])), F.col("_before"))
-    if seen is not None:
-        dated = F.col(ts).isNotNull() & F.col("_last.at").isNull()
-        carried = carried.withColumn("_last", last)
-        last = F.when(dated, F.coalesce(seen, "_last")).otherwise(F.col("_last"))
-    placed = carried.withColumn("_last", last)
+    placed = carried.withColumn("_last", F.coalesce(F.lag(state).over(in_block([key], [ts, tie])), F.col("_before")))
     was_high = F.coalesce(F.col("_last.high"), F.lit(False))
     if ttl_seconds is not None:
         was_high = was_high & (F.unix_micros(F.col(ts)) - F.col("_last.at") <= ttl_seconds * 1_000_000)
-    extra = [] if seen is None else [seen]
-    return placed.where(F.col("_high") & ~was_high).drop("_tb", "_before", "_last", "_high", *extra)
+    return placed.where(F.col("_high") & ~was_high).drop("_tb", "_before", "_last", "_high")
 
 
-def payload_hash(fields: Sequence[str]) -> Column:
+def payload_hash(fields: Sequence[str | Column]) -> Column:
     """Fingerprint of the compared fields; processing times are not among them."""
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
-
-
-def changed_rows(snapshot: DataFrame, state: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Snapshot rows (one per key) that are new or differ from the stored hash."""
-    now = snapshot.withColumn("_hash", payload_hash(fields))
-    old = state.select(key, F.col("hash").alias("_old"))
-    return now.join(old, key, "left").where(~F.col("_hash").eqNullSafe(F.col("_old"))).drop("_old") \
-        .withColumnRenamed("_hash", "hash")
-
-
-def next_state(state: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
-    """Stored hash per key after emitting; keys that were not emitted keep theirs."""
-    tagged = state.select(key, "hash").withColumn("_n", F.lit(0)).unionByName(
-        emitted.select(key, "hash").withColumn("_n", F.lit(1)))
-    return latest_per_key(tagged, [key], ["_n"]).drop("_n")

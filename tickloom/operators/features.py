@@ -9,13 +9,14 @@ from tickloom.functions.math import eps_divide, zscore
 from tickloom.functions.times import cyclic_time
 from tickloom.operators import timeseries as ts_ops
 from tickloom.operators.blocks import SeriesBlocks, time_block
-from tickloom.operators.flows import flow_pivot, hourly_activity, lookup_zero
+from tickloom.operators.flows import flow_pivot, hourly_activity, leg_flows, lookup_zero
 
 SERIES_KEYS = ("exchange", "pair")
 HORIZONS = {"1h": 1, "4h": 4, "24h": 24}
 EMA_SPANS = {"ema_20": 20, "ema_50": 50}
 WEEK = 7 * 86400
 
+# The input order of the models.
 FEATURES = [
     "spread", "spread_ret", "roll_mean", "roll_std", "leg1_volume", "leg2_volume",
     "leg1_z", "leg2_z", "vol_ratio", "leg2_long_l", "leg2_short_l", "leg1_long_l",
@@ -34,19 +35,20 @@ def feature_matrix(
     spread: DataFrame,
     trades: DataFrame,
     activity: DataFrame,
-    legs: dict[str, str],
+    legs: dict[str, str] | None,
     min_history: int = 500,
     zero_fill: bool = True,
     block_rows: int = 65536,
 ) -> DataFrame:
     """All features and labels per (exchange, pair, ts).
 
-    Flows are aggregated by hour before they meet the timeline. All row windows
+    Flows are aggregated by hour before they meet the timeline: those of the symbols `legs` names, or,
+    where it is None, of the legs in each pair's own name. All row windows
     share one shuffle by (series, row block); series shorter than `min_history`
     are left out rather than failing the job.
     """
-    flow_names = [f"{p}_{s}" for p in legs for s in ("long", "short")]
-    timeline = lookup_zero(spread, flow_pivot(trades, legs), flow_names)
+    flow_names = [f"{p}_{s}" for p in legs or ("leg2", "leg1") for s in ("long", "short")]
+    timeline = leg_flows(spread, trades) if legs is None else lookup_zero(spread, flow_pivot(trades, legs), flow_names)
     timeline = lookup_zero(timeline, hourly_activity(activity), ["wallet_tx_count", "wallet_notional"])
 
     s = spread_blocks(back=ts_ops.ema_halo(EMA_SPANS.values()), ahead=max(HORIZONS.values()), block_rows=block_rows)

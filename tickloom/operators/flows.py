@@ -41,3 +41,21 @@ def lookup_zero(timeline: DataFrame, hourly: DataFrame, values: list[str], ts: s
     right = hourly.withColumnRenamed("ts_hour", ts)
     joined = timeline.join(right, ts, "left")
     return joined.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values})
+
+
+def leg_flows(spread: DataFrame, trades: DataFrame, time: str = "trade_time") -> DataFrame:
+    """The spread rows with `leg1_long`, `leg1_short`, `leg2_long`, `leg2_short`: the notional of both legs of each row's pair.
+
+    Legs are the two symbols in the pair's name. Trades are aggregated per hour and symbol once for all
+    pairs; an hour without trades of a leg gets 0.
+    """
+    is_buy = F.upper("side") == "BUY"
+    hourly = trades.groupBy(hour_bucket(time).alias("ts_hour"), "symbol").agg(
+        F.sum(F.when(is_buy, F.col("notional_usd"))).alias("long"), F.sum(F.when(~is_buy, F.col("notional_usd"))).alias("short"))
+    out = spread
+    for n, leg in ((1, "leg1"), (2, "leg2")):
+        own = hourly.select(F.col("ts_hour").alias("ts"), F.col("symbol").alias("_leg"), F.col("long").alias(f"{leg}_long"),
+                            F.col("short").alias(f"{leg}_short"))
+        out = out.withColumn("_leg", F.split_part("pair", F.lit("/"), F.lit(n))).join(own, ["ts", "_leg"], "left").drop("_leg")
+    names = [f"{leg}_{side}" for leg in ("leg1", "leg2") for side in ("long", "short")]
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})

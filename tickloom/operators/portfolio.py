@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.math import safe_divide
 from tickloom.functions.times import seconds_interval
-from tickloom.operators.blocks import time_block, with_position
-
-YEAR = 365 * 86400
+from tickloom.operators.blocks import block_seconds_for, prefix_for, time_block, with_position
 
 
 def portfolio_values(positions: DataFrame, closes: DataFrame) -> DataFrame:
@@ -33,7 +31,7 @@ def portfolio_values_ordinal(positions: DataFrame, closes: DataFrame) -> DataFra
     and the timestamps. It is the smallest symbol at position 0, and a position
     belongs to the series exactly while it is still the smallest one there.
     """
-    placed = with_position(closes, ["symbol"], ["ts"], time_block("ts", YEAR))
+    placed = with_position(closes, ["symbol"], ["ts"], time_block("ts", block_seconds_for(closes, ["symbol"], "ts", widest=366 * 86400)))
     rows = positions.join(placed, "symbol").groupBy("portfolio_id", "pos").agg(
         F.sum(F.col("quantity") * F.col("close")).alias("value"),
         F.min("symbol").alias("lead"),
@@ -124,14 +122,16 @@ def portfolio_metrics(positions: DataFrame, closes: DataFrame, align: str = "tim
     return value_metrics(values, **kw).join(concentration(positions, closes), "portfolio_id")
 
 
-def portfolio_detail(portfolios: DataFrame, positions: DataFrame, page_rows: int = 1000, prefix: int = 3) -> DataFrame:
+def portfolio_detail(portfolios: DataFrame, positions: DataFrame, page_rows: int = 1000, prefix: int | None = None) -> DataFrame:
     """Portfolio rows with their positions nested, ordered by symbol.
 
     A portfolio gets one row per `page_rows` positions, so no array grows
     without bound; portfolios without positions keep one row and an empty array.
-    `prefix` letters of the symbol cut a large portfolio into blocks.
+    Leading letters of the symbol cut a large portfolio into blocks, as many as
+    the counts ask for unless `prefix` says.
     """
-    placed = with_position(positions, ["portfolio_id"], ["symbol"], F.substring("symbol", 1, prefix))
+    letters = prefix_for(positions, ["portfolio_id"], "symbol") if prefix is None else prefix
+    placed = with_position(positions, ["portfolio_id"], ["symbol"], F.substring("symbol", 1, letters))
     pages = placed.groupBy("portfolio_id", F.floor(F.col("pos") / page_rows).alias("page")).agg(
         F.sort_array(F.collect_list(F.struct("symbol", "quantity"))).alias("positions"))
     return portfolios.join(pages, "portfolio_id", "left").withColumns({

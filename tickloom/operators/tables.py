@@ -94,6 +94,54 @@ def retain(df: DataFrame, ts: str, as_of: Column, days: int = 14) -> DataFrame:
     return df.where(F.col(ts) >= as_of.cast("timestamp") - seconds_interval(days * 86400))
 
 
+def retain_table(spark: SparkSession, path: str, ts: str, cutoff: Column | str, day: str = "day") -> dict[str, int]:
+    """Delete the rows of a stored table that are older than `cutoff`; returns the days dropped and rewritten.
+
+    The table is partitioned by `day`, the date of `ts`. Whole days before the cutoff go as folders, the
+    day on the boundary is rewritten without its older rows, files of other days are not touched. Rows
+    without a time are not older than anything and stay. The boundary is complete in the shared folder
+    before it replaces the stored one, and repeating the call changes nothing, so it may be run again
+    after a failure.
+    """
+    limit = F.lit(cutoff).cast("timestamp") if isinstance(cutoff, str) else cutoff.cast("timestamp")
+    instant = spark.range(1).select(F.date_format(limit, "yyyy-MM-dd").alias("d"), limit.cast("string").alias("t")).first()
+    if instant["t"] is None:
+        return {"dropped": 0, "rewritten": 0}
+    days = [name.split("=", 1)[1] for name in folder_names(spark, path) if name.startswith(f"{day}=")]
+    old = [d for d in days if d[:4].isdigit() and d < instant["d"]]
+    stored = spark.read.parquet(path)
+    boundary = stored.where(F.col(day) == F.lit(instant["d"]).cast("date"))
+    kept = F.col(ts).cast("timestamp") >= F.lit(instant["t"]).cast("timestamp")
+    rewritten = 0
+    if instant["d"] in days and not boundary.where(~kept).isEmpty():
+        left = cut_lineage(boundary.where(kept))
+        if left.isEmpty():
+            old.append(instant["d"])
+        else:
+            write_partitions(left, path, [day])
+            rewritten = 1
+    for d in old:
+        drop_path(spark, f"{path}/{day}={d}")
+    return {"dropped": len(old), "rewritten": rewritten}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none where there is no such folder."""
+    store, at = _hadoop(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reads; nothing happens where there is none."""
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
 def toggle(df: DataFrame, flag: str, hit: Column) -> DataFrame:
     return df.withColumn(flag, F.when(hit, ~F.col(flag)).otherwise(F.col(flag)))
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tickloom.functions import scores
 from tickloom.functions.math import number, safe_divide
 from tickloom.functions.times import seconds_interval
-from tickloom.operators.blocks import SeriesBlocks, time_block
+from tickloom.operators.blocks import SeriesBlocks, block_seconds_for, time_block
 
 
-def token_live(metrics: DataFrame, as_of: Column, short_seconds: int = 300, long_seconds: int = 3600) -> DataFrame:
-    """Latest state per token: price, trailing totals, price change, age.
+def token_live(metrics: DataFrame, as_of: Column, short_seconds: int = 300, long_seconds: int = 3600,
+               tie: str = "metric_id") -> DataFrame:
+    """Latest state per token: price, trailing totals, price change, age; rows of one time go by `tie`.
 
     One grouped aggregation of combinable aggregates: a hot token is reduced on
     the map side and never gathered in one task.
@@ -24,24 +25,25 @@ def token_live(metrics: DataFrame, as_of: Column, short_seconds: int = 300, long
     now = as_of.cast("timestamp")
     is_buy = F.col("side") == "BUY"
     short, long = at >= now - seconds_interval(short_seconds), at >= now - seconds_interval(long_seconds)
-    old = F.max_by("price", F.when(at <= now - seconds_interval(long_seconds), at))
-    latest = F.max_by("price", at)
+    place = F.when(at.isNotNull(), F.struct(at, F.col(tie)))
+    old = F.max_by("price", F.when(at <= now - seconds_interval(long_seconds), place))
+    latest = F.max_by("price", place)
     return metrics.groupBy("token_id").agg(
         latest.alias("price"),
-        F.max_by("liquidity", at).alias("marketcap"),
+        F.max_by("liquidity", place).alias("marketcap"),
         F.coalesce(F.sum(F.when(short, F.col("volume"))), F.lit(0.0)).alias("volume_5m"),
         F.count_if(is_buy & short).alias("buys_5m"),
         F.count_if(~is_buy & short).alias("sells_5m"),
         F.count_if(is_buy & long).alias("buys_1h"),
         F.count_if(~is_buy & long).alias("sells_1h"),
         (safe_divide(latest, old) - 1.0).alias("price_change_1h"),
-        F.max_by("pump_probability", at).alias("pump_probability"),
+        F.max_by("pump_probability", place).alias("pump_probability"),
         ((F.unix_micros(F.max(now)) - F.unix_micros(F.min(at))) / 1e6).alias("age_seconds"),
         F.max(at).alias("updated_at"),
     )
 
 
-def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int = 30, block_seconds: int = 86400,
+def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int = 30, block_seconds: int | None = None,
             block_rows: int = 65536) -> DataFrame:
     """Largest relative price rise over `steps` rows of a token, over all history rows.
 
@@ -50,7 +52,8 @@ def gainers(metrics: DataFrame, tokens: DataFrame, steps: int = 3, limit: int =
     first `limit` of all, so each token keeps its best rows only (a group limit
     that acts before the shuffle) and the dimension join sees few rows.
     """
-    s = SeriesBlocks(("token_id",), ("metric_time", "metric_id"), time_block("metric_time", block_seconds),
+    seconds = block_seconds or block_seconds_for(metrics, ["token_id"], "metric_time")
+    s = SeriesBlocks(("token_id",), ("metric_time", "metric_id"), time_block("metric_time", seconds),
                      back=steps, block_rows=block_rows)
     df = s.open(metrics.select("token_id", "metric_time", "metric_id", "price"))
     df = s.close(df.withColumn("price_before", F.lag("price", steps).over(s.row_window())))

@@ -14,7 +14,7 @@ from tickloom.plans.oracle import sql
 from tickloom.plans.table_queries import TRADE_SQL, kline_messages, trade_messages
 from tickloom.session import prepare, shared_dir
 from tickloom.streaming import streams
-from tickloom.streaming.keyed import changed_rows_keyed
+from tickloom.streaming.keyed import changed_rows
 from tickloom.streaming.state import read_output
 
 SLICES = 3  # equal ranges of time
@@ -22,7 +22,7 @@ SLICES = 3  # equal ranges of time
 
 def _folders(spark):
     root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    return f"{root}/out", f"{root}/state", f"{root}/checkpoint"
+    return f"{root}/out", f"{root}/checkpoint"
 
 
 def event_stream(spark, d):
@@ -65,14 +65,14 @@ def _drain(query):
 
 
 def stream_hourly_flow(spark, d):
-    out, _, check = _folders(spark)
+    out, check = _folders(spark)
     _drain(streams.start_hourly_flow(views.trades_from(event_stream(spark, d)), out, check))
     back = spark.read.schema("ts_hour timestamp, symbol string, side string, notional double").parquet(out)
     return back.select("ts_hour", "symbol", "side", rounded("notional", 3).alias("notional"))
 
 
 def stream_large_trades(spark, d):
-    out, _, check = _folders(spark)
+    out, check = _folders(spark)
     messages = trade_messages(views.trades_from(event_stream(spark, d)).where(F.col("trade_id") % 13 != 0))
     _drain(streams.start_large_trades(messages, out, check))
     back = spark.read.schema("symbol string, tx_time timestamp, side string, price double, quantity double,"
@@ -81,7 +81,7 @@ def stream_large_trades(spark, d):
 
 
 def stream_candle_upsert(spark, d):
-    out, _, check = _folders(spark)
+    out, check = _folders(spark)
     _feed_slices(spark, d, lambda e: streams.start_candle_upsert(kline_messages(views.trades_from(e)), out, check))
     return spark.read.parquet(out).select("exchange", "symbol", "open_time", "arrival_id", "is_closed",
                                           rounded("close").alias("close"), rounded("volume").alias("volume"))
@@ -95,15 +95,15 @@ def _is_high():
 
 
 def stream_rising_edges(spark, d):
-    out, state, check = _folders(spark)
-    _feed_slices(spark, d, lambda e: streams.start_rising_edges(ticks(e), out, state, check, _is_high(), ttl_seconds=4 * 86400))
-    return read_output(spark, out, ticks(views.events(spark, d)).schema) \
+    out, check = _folders(spark)
+    _feed_slices(spark, d, lambda e: streams.start_rising_edges(ticks(e), out, check, _is_high(), ttl_seconds=4 * 86400))
+    return spark.read.schema(ticks(views.events(spark, d)).schema).parquet(out) \
         .select("token_id", "metric_id", "metric_time", "pump_probability")
 
 
 def stream_snapshot_edges(spark, d):
-    out, state, check = _folders(spark)
-    _feed_slices(spark, d, lambda e: streams.start_snapshot_edges(ticks(e), out, state, check, _is_high()))
+    out, check = _folders(spark)
+    _feed_slices(spark, d, lambda e: streams.start_snapshot_edges(ticks(e), out, check, _is_high()))
     return read_output(spark, out, ticks(views.events(spark, d)).schema) \
         .select("batch_id", "token_id", "metric_id", "pump_probability")
 
@@ -112,8 +112,8 @@ RULE = scores.AlertRule(min_buys=20, min_change=5, min_probability=0.6, min_mark
 
 
 def stream_changed_alerts(spark, d):
-    out, state, check = _folders(spark)
-    _feed_slices(spark, d, lambda e: streams.start_changed_alerts(ticks(e), out, state, check, RULE))
+    out, check = _folders(spark)
+    _feed_slices(spark, d, lambda e: streams.start_changed_alerts(ticks(e), out, check, RULE))
     emitted = alerts(ticks(views.events(spark, d)), RULE)
     return read_output(spark, out, emitted.schema).select(
         "batch_id", "token_id", "updated_at", *[rounded(c).alias(c) for c in ("price", "marketcap", "pump_probability")])
@@ -128,13 +128,13 @@ def _coarse(events):
 
 
 def stream_keyed_changes(spark, d):
-    """Snapshot changes with the keyed state store."""
-    out, _, check = _folders(spark)
+    """Snapshot changes appended by the sink itself; an idle key is forgotten after a day."""
+    out, check = _folders(spark)
 
     def start(e):
-        changed = changed_rows_keyed(_coarse(e), SNAPSHOT_FIELDS)
+        changed = changed_rows(_coarse(e), SNAPSHOT_FIELDS, ttl_seconds=86400)
         writer = changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
-        return writer.trigger(availableNow=True).start()
+        return streams.start_keyed(writer, spark, None)
 
     _feed_slices(spark, d, start)
     back = spark.read.schema(_coarse(views.events(spark, d)).schema).parquet(out)
@@ -142,16 +142,16 @@ def stream_keyed_changes(spark, d):
 
 
 def stream_snapshot_changes(spark, d):
-    out, state, check = _folders(spark)
-    _feed_slices(spark, d, lambda e: streams.start_changes(_coarse(e), out, state, check, SNAPSHOT_FIELDS))
+    out, check = _folders(spark)
+    _feed_slices(spark, d, lambda e: streams.start_changes(_coarse(e), out, check, SNAPSHOT_FIELDS))
     return read_output(spark, out, _coarse(views.events(spark, d)).schema) \
         .select("batch_id", "token_id", "metric_id", "price", "pump_probability")
 
 
 def stream_live_snapshot(spark, d):
-    _, state, check = _folders(spark)
-    query = _feed_slices(spark, d, lambda e: streams.start_live_snapshot(ticks(e), state, check, trigger=None))
-    live = streams.latest_snapshot(spark, state, ticks(views.events(spark, d)).schema, query)
+    out, check = _folders(spark)
+    query = _feed_slices(spark, d, lambda e: streams.start_live_snapshot(ticks(e), out, check, trigger=None))
+    live = streams.latest_snapshot(spark, out, ticks(views.events(spark, d)).schema, query)
     return live.orderBy(F.desc_nulls_last("pump_probability"), F.desc("marketcap"), "token_id") \
         .select("token_id", "metric_id", "updated_at", rounded("price").alias("price"), "pump_probability")
 

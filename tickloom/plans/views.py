@@ -6,6 +6,8 @@ The matching DuckDB text is in `oracle.py`.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tickloom.operators.tokens import token_live
 from tickloom.session import prepare
 
 PAIR = ("CLICK", "VIEW")
+SYMBOLS = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
 LEGS = {"leg2": "VIEW", "leg1": "CLICK"}
 DAY = 86400
 
@@ -45,14 +48,24 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades_from(events(spark, sf_dir))
 
 
+def trade_place() -> Column:
+    """Trades of one time go by their number."""
+    return F.struct("trade_time", "trade_id")
+
+
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles_from_trades(trades(spark, sf_dir), F.date_trunc("hour", F.col("trade_time")), "1h")
+    return candles_from_trades(trades(spark, sf_dir), F.date_trunc("hour", F.col("trade_time")), "1h", order=trade_place())
 
 
 def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_spread(candles(spark, sf_dir), [PAIR], "1h")
 
 
+def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of symbols, the first in the alphabet over the second."""
+    return pair_spread(candles(spark, sf_dir), list(combinations(SYMBOLS, 2)), "1h")
+
+
 def wallet_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).where(F.col("symbol") == "PURCHASE").select(
         F.col("trade_time").alias("tx_time"), F.col("user_id").alias("wallet_id"), "notional_usd")
@@ -100,7 +113,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles_from_trades(trades(spark, sf_dir), F.date_trunc("day", F.col("trade_time")), "1d") \
+    return candles_from_trades(trades(spark, sf_dir), F.date_trunc("day", F.col("trade_time")), "1d", order=trade_place()) \
         .select("symbol", F.col("open_time").alias("ts"), "close")
 
 

@@ -1,55 +1,147 @@
-"""Change detection with Spark's own keyed state.
+"""Rising edges and changes with Spark's keyed state and a timer per key.
 
-For very many keys: the state store touches only the keys of a micro-batch,
-where the state tables of `streams.py` are rewritten as a whole. Rows are first
-reduced to the newest per key inside every input partition, so a hot key
-reaches its state task as one row per partition batch.
+A key's state is a few numbers in the state store; a micro-batch reads and writes only the keys it holds.
+Rows of one key of one micro-batch meet in one task, in Arrow batches; of those only what may still be
+emitted is held, so the micro-batch (`maxFilesPerTrigger` and the like) bounds a hot key. Columns pass
+Python as text, so whole numbers with NULLs, decimals and timestamps come back as they were.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType
 
 from tickloom.operators.edges import payload_hash
 
+#: Time of a row without one: before all others.
+UNDATED = -(2**63)
 
-def newest_in_partition(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Newest row per key of every Arrow batch (a map-side combine; works on streams)."""
-    by = list(order)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.sort_values(by).drop_duplicates(key, keep="last")
+def _columns_as_text(schema: StructType) -> list[Column]:
+    out = []
+    for field in schema.fields:
+        if isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
+            raise ValueError(f"keyed streams take plain columns, not {field.name}: {field.dataType.simpleString()}")
+        col = F.col(f"`{field.name}`")
+        out.append((F.hex(col) if isinstance(field.dataType, BinaryType) else col.cast("string")).alias(f"_c_{field.name}"))
+    return out
 
-    return df.mapInPandas(reduce, df.schema)
 
+def _columns_from_text(schema: StructType) -> list[Column]:
+    return [(F.unhex(F.col(f"`_c_{f.name}`")) if isinstance(f.dataType, BinaryType) else F.col(f"`_c_{f.name}`").cast(f.dataType)).alias(f.name)
+            for f in schema.fields]
 
-def changed_rows_keyed(ticks: DataFrame, fields: Sequence[str], key: str = "token_id",
-                       order: Sequence[str] = ("metric_time", "metric_id")) -> DataFrame:
-    """Streaming rows whose `fields` differ from the row last emitted for the key.
 
-    Per micro-batch the newest row of a key counts, as in `streams.start_changes`.
+def _placed(ts: str, tie: str) -> list[Column]:
+    return [F.coalesce(F.unix_micros(F.col(ts)), F.lit(UNDATED)).alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(UNDATED)).alias("_tie")]
+
+
+def _arm(state: GroupState, ttl_seconds: int | None) -> None:
+    if ttl_seconds is not None:
+        state.setTimeoutDuration(max(1, ttl_seconds * 1000))
+
+
+def rising_edge_rows(ticks: DataFrame, high: Column, ttl_seconds: int | None = 1800, key: str = "token_id",
+                     ts: str = "metric_time", tie: str = "metric_id") -> DataFrame:
+    """Streaming rows that are high while their key was not high one row earlier.
+
+    State of a key: time, `tie` (a whole number) and height of its newest row. A row older than that is
+    late: it neither fires nor becomes the state, unless it is older by more than `ttl_seconds` (the
+    stored row was dated in the future, or the clock was set back). A stored row more than `ttl_seconds`
+    before a row does not count for it. A row without a time has no place: it neither fires nor becomes
+    the state. The state of a key ends once the key has been idle for `ttl_seconds`, by the clock of the
+    machine and by the newest time of the stream alike; None keeps it.
     """
-    hashed = newest_in_partition(ticks.withColumn("hash", payload_hash(fields)), key, order)
-    by = list(order)
+    schema = ticks.schema
+    names = [f"_c_{c}" for c in ticks.columns]
+    marked = ticks if ttl_seconds is None else ticks.withWatermark(ts, "0 seconds")
+    # The column of the watermark goes along: without it the function could not ask for the stream's time.
+    rows = marked.select(F.col(key).alias("_key"), F.col(ts).alias("_time"), *_placed(ts, tie),
+                         F.coalesce(high, F.lit(False)).alias("_high"), *_columns_as_text(schema))
+    ttl = None if ttl_seconds is None else ttl_seconds * 1_000_000
 
-    def newest(parts: Iterable[pd.DataFrame]) -> pd.DataFrame:
-        best = None
+    def edges(_key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = state.get[0]
+            if state.getCurrentWatermarkMs() * 1000 >= at + ttl:
+                state.remove()
+            else:
+                _arm(state, ttl_seconds)
+            return
+        seen = state.get if state.exists else None
+        times, ties, highs, texts = [], [], [], []
         for part in parts:
-            both = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = both.sort_values(by).tail(1)
-        return best
-
-    def emit(_key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = newest(parts)
-        now = row["hash"].iloc[0]
-        if not state.exists or state.get[0] != now:
-            state.update((now,))
-            yield row
-
-    return hashed.groupBy(key).applyInPandasWithState(
-        emit, hashed.schema, "hash string", "append", GroupStateTimeout.NoTimeout)
+            at, number, up = (part[c].to_numpy() for c in ("_at", "_tie", "_high"))
+            kept = at != UNDATED
+            if seen is not None:
+                late = (at < seen[0]) | ((at == seen[0]) & (number < seen[1]))
+                # Differences of times beyond 2^63 cannot occur: Spark's years end long before.
+                kept &= ~(late if ttl is None else late & (seen[0] - np.where(kept, at, seen[0]) <= ttl))
+            times.append(at[kept])
+            ties.append(number[kept])
+            highs.append(up[kept].astype(bool))
+            texts.append(part.loc[kept & up.astype(bool), names])
+        at, number, up = np.concatenate(times), np.concatenate(ties), np.concatenate(highs)
+        if len(at):
+            order = np.lexsort((number, at))
+            earlier_up = np.append(seen is not None and seen[2], up[order][:-1])
+            earlier_at = np.append(seen[0] if seen is not None else at[order][0], at[order][:-1])
+            held = earlier_up if ttl is None else earlier_up & (at[order] - earlier_at <= ttl)
+            fires = np.zeros(len(at), bool)
+            fires[order] = up[order] & ~held
+            last = order[-1]
+            state.update((int(at[last]), int(number[last]), bool(up[last])))
+            if fires.any():
+                yield pd.concat(texts, ignore_index=True)[fires[up]]
+        if state.exists:
+            _arm(state, ttl_seconds)
+
+    out = StructType()
+    for name in names:
+        out.add(name, "string")
+    timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("_key").applyInPandasWithState(edges, out, "at long, tie long, high boolean", "append", timeout) \
+        .select(*_columns_from_text(schema))
+
+
+def changed_rows(ticks: DataFrame, compared: Sequence[str | Column], passes: Column | None = None, key: str = "token_id",
+                 order: Sequence[str] = ("metric_time", "metric_id"), ttl_seconds: int | None = None) -> DataFrame:
+    """Streaming rows whose `compared` columns differ from the row last emitted for the key.
+
+    Per micro-batch the newest row of a key by `order` (a time and a whole number) counts; if it does not
+    pass, nothing is emitted and nothing remembered. Processing times are not compared, so an unchanged
+    row stays silent. With `ttl_seconds` the state of a key that long idle by the machine's clock ends,
+    and the key's next row is emitted.
+    """
+    schema = ticks.schema
+    names = [f"_c_{c}" for c in ticks.columns]
+    rows = ticks.select(F.col(key).alias("_key"), *_placed(*order), payload_hash(compared).alias("_hash"),
+                        (F.lit(True) if passes is None else F.coalesce(passes, F.lit(False))).alias("_passes"), *_columns_as_text(schema))
+
+    def changes(_key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        place, best = None, None
+        for part in parts:
+            row = part.sort_values(["_at", "_tie", "_hash"]).tail(1)
+            own = tuple(row[["_at", "_tie", "_hash"]].itertuples(index=False, name=None))[0]
+            if place is None or own > place:
+                place, best = own, row
+        if best is not None and bool(best["_passes"].iloc[0]) and not (state.exists and state.get[0] == place[2]):
+            state.update((place[2],))
+            yield best[names]
+        if state.exists:
+            _arm(state, ttl_seconds)
+
+    out = StructType()
+    for name in names:
+        out.add(name, "string")
+    timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("_key").applyInPandasWithState(changes, out, "hash string", "append", timeout).select(*_columns_from_text(schema))

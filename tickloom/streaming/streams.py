@@ -2,24 +2,26 @@
 
 Every `start_*` takes a streaming DataFrame, an output folder and a checkpoint
 folder and returns the running query. Restarting with the same folders resumes;
-replayed micro-batches give the same tables. Keyed state is kept as a table and
-merged with combinable aggregates, so a hot key inside a micro-batch is reduced
-on the map side instead of being handed to one stateful task.
+replayed micro-batches give the same tables. State per key is kept by Spark, in
+the state store of the checkpoint: see `keyed.py` for edges and changes; the
+live snapshot is an update-mode aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions import scores
-from tickloom.operators import edges, tables
+from tickloom.functions.math import number
+from tickloom.operators import tables
 from tickloom.operators.tokens import alerts, latest_per_key
 from tickloom.sources.payloads import read_agg_trades, read_kline_stream
-from tickloom.streaming.state import SlotState, ensure_table, save_batch
+from tickloom.streaming.keyed import changed_rows, rising_edge_rows
+from tickloom.streaming.state import drop_batch, ensure_table, newest_of_batches, read_batch, save_batch
 
 
 def _start(writer, trigger: str | None) -> StreamingQuery:
@@ -28,9 +30,30 @@ def _start(writer, trigger: str | None) -> StreamingQuery:
     return timed.start()
 
 
+def start_keyed(writer, spark: SparkSession, trigger: str | None) -> StreamingQuery:
+    """Start a query whose keys have timers by the machine's clock.
+
+    Under a trigger a micro-batch without rows looks after the timers. A query that only drains what is
+    there would go on with such batches for ever, so it runs without them; timers are looked after by the
+    batches with rows.
+    """
+    if trigger:
+        return _start(writer, trigger)
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return _start(writer, None)  # a query keeps the settings with which it starts
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
-                trigger: str | None) -> StreamingQuery:
+                trigger: str | None, mode: str = "append", keyed: bool = False) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int) -> None:
+        if keyed:
+            handle(batch, batch_id)
+            return
         # Read once, used by several writes; lost blocks are read again from the source.
         batch.persist()
         try:
@@ -38,8 +61,8 @@ def _each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
         finally:
             batch.unpersist()
 
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
-    return _start(writer, trigger)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(run)
+    return start_keyed(writer, stream.sparkSession, trigger) if keyed else _start(writer, trigger)
 
 
 def start_large_trades(messages: DataFrame, out: str, checkpoint: str, min_notional: float = 10_000,
@@ -88,96 +111,89 @@ def start_candle_upsert(messages: DataFrame, out: str, checkpoint: str, trigger:
     return _each_batch(updates, handle, checkpoint, trigger)
 
 
-def start_rising_edges(ticks: DataFrame, out: str, state: str, checkpoint: str, high: Column,
-                       ttl_seconds: int | None = 1800, key: str = "token_id", ts: str = "metric_time",
-                       tie: str = "metric_id", trigger: str | None = None) -> StreamingQuery:
-    """Event mode: a row fires when its key was not high one row earlier.
+def start_rising_edges(ticks: DataFrame, out: str, checkpoint: str, high: Column, ttl_seconds: int | None = 1800,
+                       key: str = "token_id", ts: str = "metric_time", tie: str = "metric_id",
+                       trigger: str | None = None) -> StreamingQuery:
+    """Event mode: a row fires when its key was not high one row earlier; see `keyed.rising_edge_rows`."""
+    fired = rising_edge_rows(ticks, high, ttl_seconds, key, ts, tie)
+    writer = fired.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return start_keyed(writer, ticks.sparkSession, trigger)
 
-    The state is the last row of each key that was ever seen, whatever the times
-    of other keys, and stands before the key's first row of a micro-batch; a
-    stored row more than `ttl_seconds` before a row does not count for it. A row
-    older than its key's stored row is late: it neither fires nor becomes the
-    state, as the alerts of that time are out. Only where it is older by more
-    than `ttl_seconds` (the stored one was dated in the future, or the clock was
-    set back) it becomes the state, and fires if high and the stored row was not.
-    """
-    rows = ticks.withColumn("_new", F.lit(True))
-    slots = SlotState(ticks.sparkSession, state, rows.schema)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        old = slots.before(batch_id).withColumn("_new", F.lit(False))
-        stored = old.select(key, F.struct(F.coalesce(high, F.lit(False)).alias("high"), F.unix_micros(ts).alias("at")).alias("_seen"),
-                            F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("_place"))
-        late = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")) < F.col("_place")
-        if ttl_seconds is not None:
-            late = late & (F.col("_seen.at") - F.unix_micros(ts) <= ttl_seconds * 1_000_000)
-        late = late & F.col(ts).isNotNull()
-        kept = batch.join(stored, key, "left").where(~F.coalesce(late, F.lit(False))).drop("_place")
-        fired = edges.rising_edges(kept, key, ts, tie, high, ttl_seconds, seen="_seen")
-        save_batch(fired.select(*ticks.columns), out, batch_id)
-        together = old.unionByName(kept.drop("_seen")).withColumn("_dated", F.col(ts).isNotNull())
-        slots.save(batch_id, latest_per_key(together, [key], ["_dated", "_new", ts, tie]).drop("_dated"))
-
-    return _each_batch(rows, handle, checkpoint, trigger)
-
-
-def start_snapshot_edges(ticks: DataFrame, out: str, state: str, checkpoint: str, high: Column, key: str = "token_id",
+def start_snapshot_edges(ticks: DataFrame, out: str, checkpoint: str, high: Column, key: str = "token_id",
                          order: Sequence[str] = ("metric_time", "metric_id"), trigger: str | None = None) -> StreamingQuery:
     """Snapshot mode: each micro-batch is one snapshot (latest row per key).
 
-    A key that is missing from a snapshot loses its state at once and fires
-    again when it comes back high.
+    A key that is missing from a snapshot loses its state at once and fires again when it comes back
+    high. So all there is to know is which keys were high in the snapshot before: that micro-batch's
+    own table, of which the last two are kept.
     """
-    slots = SlotState(ticks.sparkSession, state, f"{key} long")
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        snapshot = latest_per_key(batch, [key], order).where(F.coalesce(high, F.lit(False)))
-        now = save_batch(snapshot, f"{out}_high", batch_id)
-        save_batch(now.join(slots.before(batch_id), key, "left_anti"), out, batch_id)
-        slots.save(batch_id, now.select(F.col(key).cast("long")))
+        spark, seen = batch.sparkSession, f"{out}_high"
+        now = save_batch(latest_per_key(batch, [key], order).where(F.coalesce(high, F.lit(False))), seen, batch_id)
+        before = read_batch(spark, seen, batch_id - 1, now.schema).select(key)
+        save_batch(tables.join_null_safe(now, before, [key], "left_anti"), out, batch_id)
+        drop_batch(spark, seen, batch_id - 2)
 
     return _each_batch(ticks, handle, checkpoint, trigger)
 
 
-def start_changes(ticks: DataFrame, out: str, state: str, checkpoint: str, fields: Sequence[str],
+def start_changes(ticks: DataFrame, out: str, checkpoint: str, compared: Sequence[str | Column], passes: Column | None = None,
                   shape: Callable[[DataFrame], DataFrame] = lambda df: df, key: str = "token_id",
-                  order: Sequence[str] = ("metric_time", "metric_id"), trigger: str | None = None) -> StreamingQuery:
-    """Rows of the newest snapshot whose `fields` differ from the last emitted ones.
+                  order: Sequence[str] = ("metric_time", "metric_id"), ttl_seconds: int | None = None,
+                  trigger: str | None = None) -> StreamingQuery:
+    """Rows of the newest snapshot that differ from the last emitted ones; see `keyed.changed_rows`.
 
-    Update times are not among the fields, so an unchanged row stays silent.
+    Emitted rows are shaped and written in a folder per micro-batch.
     """
-    slots = SlotState(ticks.sparkSession, state, f"{key} long, hash string")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        old = slots.before(batch_id)
-        emitted = save_batch(edges.changed_rows(shape(latest_per_key(batch, [key], order)), old, key, fields), out, batch_id)
-        slots.save(batch_id, edges.next_state(old, emitted.select(F.col(key).cast("long"), "hash"), key))
-
-    return _each_batch(ticks, handle, checkpoint, trigger)
+    changed = changed_rows(ticks, compared, passes, key, order, ttl_seconds)
+    return _each_batch(changed, lambda batch, batch_id: save_batch(shape(batch), out, batch_id), checkpoint, trigger, keyed=True)
 
 
 ALERT_FIELDS = ["price", "marketcap", "buys_5m", "volume_5m", "price_change_1h", "pump_probability"]
 
 
-def start_changed_alerts(live: DataFrame, out: str, state: str, checkpoint: str,
-                         rule: scores.AlertRule = scores.AlertRule(), trigger: str | None = None, **kw) -> StreamingQuery:
+def start_changed_alerts(live: DataFrame, out: str, checkpoint: str, rule: scores.AlertRule = scores.AlertRule(),
+                         trigger: str | None = None, **kw) -> StreamingQuery:
     """Alerts of the rule, emitted per token when the alert payload changed."""
-    return start_changes(live, out, state, checkpoint, ALERT_FIELDS, lambda df: alerts(df, rule), trigger=trigger, **kw)
+    payload = [F.col("price").cast("double").alias("price"), *[number(c).alias(c) for c in ALERT_FIELDS[1:]]]
+    return start_changes(live, out, checkpoint, payload, scores.meets_alert_rule(rule), lambda df: alerts(df, rule),
+                         trigger=trigger, **kw)
+
 
+#: Micro-batches of a live snapshot after which its folders are merged into one.
+MERGE_EVERY = 64
 
-def start_live_snapshot(ticks: DataFrame, state: str, checkpoint: str, key: str = "token_id",
-                        order: Sequence[str] = ("metric_time", "metric_id"), trigger: str | None = "5 seconds") -> StreamingQuery:
-    """Latest row per key, kept as a state table that `latest_snapshot` reads at any time."""
-    slots = SlotState(ticks.sparkSession, state, ticks.schema)
+
+def start_live_snapshot(ticks: DataFrame, out: str, checkpoint: str, key: str = "token_id",
+                        order: Sequence[str] = ("metric_time", "metric_id"), merge_every: int = MERGE_EVERY,
+                        trigger: str | None = "5 seconds") -> StreamingQuery:
+    """Latest row per key, kept as a table that `latest_snapshot` reads at any time.
+
+    Spark's state holds the newest row of every key, combined before the shuffle; a micro-batch writes
+    only the keys that it holds, in a folder of its own. Every `merge_every` batches a folder gets the
+    rows of all keys; folders before the merge before last go, so a reader has that long to finish.
+    """
+    rest = [c for c in ticks.columns if c != key and c not in order]
+    newest = ticks.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_r")).select(
+        *[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in ticks.columns])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        slots.save(batch_id, latest_per_key(slots.before(batch_id).unionByName(batch), [key], order))
+        spark = batch.sparkSession
+        if not batch_id or batch_id % merge_every:
+            save_batch(batch, out, batch_id)
+            return
+        fresh = save_batch(batch, f"{out}_fresh", batch_id)  # what comes out of Spark's state is computed once
+        stored = newest_of_batches(spark, out, batch.schema, key, batch_id - 1)
+        save_batch(fresh.unionByName(tables.join_null_safe(stored, fresh.select(key), [key], "left_anti")), out, batch_id)
+        drop_batch(spark, f"{out}_fresh", batch_id)
+        for old in range(max(0, batch_id - 2 * merge_every), batch_id - merge_every):
+            drop_batch(spark, out, old)
 
-    return _each_batch(ticks, handle, checkpoint, trigger)
+    return _each_batch(newest, handle, checkpoint, trigger, mode="update", keyed=True)
 
 
-def latest_snapshot(spark, state: str, schema, query: StreamingQuery) -> DataFrame:
+def latest_snapshot(spark, out: str, schema, query: StreamingQuery, key: str = "token_id") -> DataFrame:
     """Last complete snapshot of a `start_live_snapshot` query (for late subscribers)."""
     progress = query.lastProgress
-    batch_id = -1 if progress is None else progress["batchId"]
-    return SlotState(spark, state, schema).before(batch_id + 1)
+    return newest_of_batches(spark, out, schema, key, -1 if progress is None else progress["batchId"])
