@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ("spread_queries", "token_queries", "signal_queries", "table_queries", "stream_queries")
+AREAS = ("spread_queries", "pairs_queries", "token_queries", "signal_queries", "trading_queries", "table_queries", "stream_queries")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
