@@ -1,4 +1,8 @@
-"""Documents to packed sequences: toxic ones go, poor ones go, one of each group stays, the rest is packed."""
+"""Documents to packed sequences: toxic ones go, poor ones go, one of each group stays, the rest is packed.
+
+All stages but the last return the columns of `documents`, whatever further columns come in, and rows as
+they were. An empty table goes through all of them.
+"""
 
 from __future__ import annotations
 
@@ -9,18 +13,22 @@ from tickloom.llm.common import DOCUMENT_COLUMNS, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is not predicted toxic, each judged by itself; NULL and empty texts are not toxic."""
     return toxicity.clean_documents(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and are content by half of their words at least; NULL and empty texts have too few words."""
     return quality_crf.good_documents(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of near copies: the smallest doc_id, one of equal rows; rows without a doc_id stay."""
     return simhash_dedup.one_of_each(docs.select(*DOCUMENT_COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of every document with its place in a sequence; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
