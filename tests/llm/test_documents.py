@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -152,6 +153,22 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(a, b, ((a ^ b) & mask).bit_count()) for a in known for b in known if ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_inflation_is_bounded_by_the_step():
+    """A payload that shrinks a thousandfold, and members of every size, in steps."""
+    plain = [b"x" * 50_000_000, b"", b"one\ntwo\n", random.Random(1).randbytes(700_000), b"y" * (warc.STEP - 4), b"z" * warc.STEP, b"end"]
+    packed = b"".join(gzip.compress(part) for part in plain)
+    stream, most, got = warc.Inflated(io.BytesIO(packed)), 0, hashlib.sha256()
+    while stream.more():
+        most = max(most, len(stream.held))
+        got.update(stream.take(len(stream.held)))
+    assert most <= warc.STEP and got.digest() == hashlib.sha256(b"".join(plain)).digest()
+    stream = warc.Inflated(io.BytesIO(packed))
+    assert stream.take(50_000_000) == plain[0] and stream.line() == b"one\n" and stream.line() == b"two\n"
+    with pytest.raises(EOFError):
+        cut = warc.Inflated(io.BytesIO(packed[:30_000]))
+        cut.take(60_000_000)
+
+
 def test_archives(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://b\r\nX: y", None), (4, "", ""), (5, "u", "ü" * 300_000),
             (1, "again", "<p>x</p>"), (None, "n", "<p>x</p>"), (None, "m", "alone"), (9, "crlf", "a\r\n\r\nWARC/1.1\r\n")]

@@ -26,7 +26,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n"
-CHUNK = 1 << 18
+#: Bytes read at a time, and bytes that one step may inflate them to.
+CHUNK, STEP = 1 << 18, 1 << 20
 #: A file is closed once so many bytes of records are in it.
 FILE_BYTES = 64 << 20
 #: Compressed bytes that a task reads back.
@@ -70,20 +71,27 @@ class Inflated:
 
     def __init__(self, source: BinaryIO):
         self.source, self.held, self.machine = source, bytearray(), zlib.decompressobj(31)
-        self.ended = False
+        self.ended = self.full = False
 
     def more(self) -> bool:
         if self.ended:
             return False
-        data = self.machine.unused_data or self.source.read(CHUNK)
         if self.machine.eof:
+            data = self.machine.unused_data or self.source.read(CHUNK)
             if not data:
                 self.ended = True
                 return False
             self.machine = zlib.decompressobj(31)
-        elif not data:
-            raise EOFError("the gzip stream ends inside a member")
-        self.held += self.machine.decompress(data)
+        else:
+            # A full step may have left data, or only its output, inside.
+            data = self.machine.unconsumed_tail
+            if not data and not self.full:
+                data = self.source.read(CHUNK)
+                if not data:
+                    raise EOFError("the gzip stream ends inside a member")
+        out = self.machine.decompress(data, STEP)
+        self.full = len(out) == STEP
+        self.held += out
         return True
 
     def line(self) -> bytes:
