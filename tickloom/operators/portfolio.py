@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.math import safe_divide
 from tickloom.functions.times import seconds_interval
-from tickloom.operators.blocks import block_seconds_for, prefix_for, time_block, with_position
+from tickloom.operators.blocks import prefix_for, time_block, with_position
+
+#: Bars of one symbol in a block: the calendar bounds them.
+YEAR = 365 * 86400
 
 
 def portfolio_values(positions: DataFrame, closes: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def portfolio_values_ordinal(positions: DataFrame, closes: DataFrame) -> DataFra
     and the timestamps. It is the smallest symbol at position 0, and a position
     belongs to the series exactly while it is still the smallest one there.
     """
-    placed = with_position(closes, ["symbol"], ["ts"], time_block("ts", block_seconds_for(closes, ["symbol"], "ts", widest=366 * 86400)))
+    placed = with_position(closes, ["symbol"], ["ts"], time_block("ts", YEAR))
     rows = positions.join(placed, "symbol").groupBy("portfolio_id", "pos").agg(
         F.sum(F.col("quantity") * F.col("close")).alias("value"),
         F.min("symbol").alias("lead"),
