@@ -368,6 +368,13 @@ def test_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
     assert "In(gram, [pum,ump])" in plan
 
 
+def test_postings_of_a_small_file_are_made_in_many_tasks(spark):
+    df = spark.range(400).select(F.col("id").alias("token_id"), F.concat(F.lit("Token "), F.col("id")).alias("mint")).coalesce(1)
+    made = text_index.postings(df, "token_id", ["mint"])
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert made.select("token_id").distinct().count() == 400 and made.count() == made.distinct().count()
+
+
 # ---- trending terms -----------------------------------------------------------------------------------------
 
 def test_summaries_keep_what_is_frequent():

@@ -24,9 +24,13 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def postings(tokens: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(gram, key, bucket): every run of 1 to SIZE characters of the lower-cased fields, once per key."""
+    """(gram, key, bucket): every run of 1 to SIZE characters of the lower-cased fields, once per key.
+
+    A row makes some hundred postings, so a small file, which Spark reads in one task, is dealt over the cluster first.
+    """
+    dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = [F.coalesce(_grams(F.lower(F.col(f)), n), F.array().cast("array<string>")) for f in fields for n in range(1, SIZE + 1)]
-    grams = tokens.select(F.explode(F.array_distinct(F.concat(*found))).alias("gram"), F.col(key))
+    grams = dealt.select(F.explode(F.array_distinct(F.concat(*found))).alias("gram"), F.col(key))
     return grams.withColumn("bucket", _bucket(F.col("gram")))
 
 
@@ -52,11 +56,13 @@ def update_index(spark: SparkSession, path: str, stored: DataFrame, batch: DataF
     gone = cut_lineage(old.alias("o").join(new.alias("n"), same, "left_anti"))
     come = cut_lineage(new.alias("n").join(old.alias("o"), same, "left_anti"))
     both = gone.unionByName(come)
-    held = touched_rows(spark, path, both, ["bucket"])
+    # Markers of empty folders are set anew below.
+    held = touched_rows(spark, path, both, ["bucket"]).where(F.col("gram") != "")
     kept = held.join(both, ["gram", key, "bucket"], "left_anti")
     # A folder whose postings are all gone would not be replaced, so it keeps a row that no question asks for.
     empty = gone.select("bucket").distinct().select(F.lit("").alias("gram"), F.lit(None).cast(batch.schema[key].dataType).alias(key), "bucket")
-    write_partitions(cut_lineage(kept.unionByName(come).unionByName(empty).distinct()), path, ["bucket"])
+    # What is kept and what comes share no posting, so nothing is left to be told apart.
+    write_partitions(cut_lineage(kept.unionByName(come).unionByName(empty)), path, ["bucket"])
 
 
 def question_grams(question: str) -> list[str]:
