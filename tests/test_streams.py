@@ -305,3 +305,16 @@ def test_hourly_flow_holds_back_open_hours(spark, landing):
     streams.start_hourly_flow(land.stream(), land.path("out"), land.path("check")).awaitTermination()
     got = spark.read.parquet(land.path("out")).collect()
     assert sorted((r["ts_hour"], r["side"], r["notional"]) for r in got) == [(T0, "BUY", 3.0), (T0 + dt.timedelta(hours=1), "SELL", 4.0)]
+
+
+@pytest.mark.parametrize("kind", ["edges", "changes"])
+def test_a_key_costs_few_columns_whatever_its_rows_hold(spark, landing, kind):
+    land = landing()
+    land.add([tick(1, 1, 0.9)])
+    wide = land.stream().select("*", *[F.lit(i).alias(f"more{i}") for i in range(20)])
+    found = keyed.rising_edge_rows(wide, F.col("pump_probability") >= HIGH) if kind == "edges" else keyed.changed_rows(wide, ["price"])
+    plan = found._jdf.queryExecution().analyzed().toString()
+    line = next(x for x in plan.splitlines() if "FlatMapGroupsInPandasWithState" in x)
+    taken = line.split(f"{kind}(", 1)[1].split(")", 1)[0].split(", ")
+    assert len(taken) <= 3
+    assert found.schema.names == wide.schema.names

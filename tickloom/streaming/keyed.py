@@ -2,15 +2,15 @@
 
 A key's state is a few numbers in the state store; a micro-batch reads and writes only the keys it holds.
 Rows of one key of one micro-batch meet in one task, in Arrow batches; of those only what may still be
-emitted is held, so the micro-batch (`maxFilesPerTrigger` and the like) bounds a hot key. Columns pass
-Python as text, so whole numbers with NULLs, decimals and timestamps come back as they were.
+emitted is held, so the micro-batch (`maxFilesPerTrigger` and the like) bounds a hot key. A row passes
+Python as one JSON text of its columns' texts, so whole numbers with NULLs, decimals and timestamps come
+back as they were, and a key costs the conversion of a few columns, whatever the width of its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,25 +23,39 @@ from tickloom.operators.edges import payload_hash
 UNDATED = -(2**63)
 
 
-def _columns_as_text(schema: StructType) -> list[Column]:
-    out = []
-    for field in schema.fields:
+def _row_as_text(schema: StructType) -> Column:
+    columns = []
+    for i, field in enumerate(schema.fields):
         if isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType)):
             raise ValueError(f"keyed streams take plain columns, not {field.name}: {field.dataType.simpleString()}")
         col = F.col(f"`{field.name}`")
-        out.append((F.hex(col) if isinstance(field.dataType, BinaryType) else col.cast("string")).alias(f"_c_{field.name}"))
-    return out
+        columns.append((F.hex(col) if isinstance(field.dataType, BinaryType) else col.cast("string")).alias(f"c{i}"))
+    return F.to_json(F.struct(*columns))
 
 
-def _columns_from_text(schema: StructType) -> list[Column]:
-    return [(F.unhex(F.col(f"`_c_{f.name}`")) if isinstance(f.dataType, BinaryType) else F.col(f"`_c_{f.name}`").cast(f.dataType)).alias(f.name)
-            for f in schema.fields]
+def _columns_from_text(rows: DataFrame, schema: StructType) -> DataFrame:
+    texts = StructType()
+    for i in range(len(schema.fields)):
+        texts.add(f"c{i}", "string")
+    # A column's text may be as long as it likes.
+    held = rows.select(F.from_json("_row", texts, {"maxStringLen": str(2**31 - 1)}).alias("_r"))
+    return held.select(*[(F.unhex(F.col(f"_r.c{i}")) if isinstance(f.dataType, BinaryType) else F.col(f"_r.c{i}").cast(f.dataType)).alias(f.name)
+                         for i, f in enumerate(schema.fields)])
 
 
 def _placed(ts: str, tie: str) -> list[Column]:
     return [F.coalesce(F.unix_micros(F.col(ts)), F.lit(UNDATED)).alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(UNDATED)).alias("_tie")]
 
 
+def _sortable(number: Column) -> Column:
+    """16 hexadecimal digits in the order of the long."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(UNDATED))), 16, "0")
+
+
+#: Places in a row's text of `changed_rows`: time and number, then the hash of the compared columns, then T if the row passes.
+HASH_FROM, HASH_TO = 32, 96
+
+
 def _arm(state: GroupState, ttl_seconds: int | None) -> None:
     if ttl_seconds is not None:
         state.setTimeoutDuration(max(1, ttl_seconds * 1000))
@@ -59,11 +73,12 @@ def rising_edge_rows(ticks: DataFrame, high: Column, ttl_seconds: int | None = 1
     machine and by the newest time of the stream alike; None keeps it.
     """
     schema = ticks.schema
-    names = [f"_c_{c}" for c in ticks.columns]
-    marked = ticks if ttl_seconds is None else ticks.withWatermark(ts, "0 seconds")
     # The column of the watermark goes along: without it the function could not ask for the stream's time.
-    rows = marked.select(F.col(key).alias("_key"), F.col(ts).alias("_time"), *_placed(ts, tie),
-                         F.coalesce(high, F.lit(False)).alias("_high"), *_columns_as_text(schema))
+    marked = ticks if ttl_seconds is None else ticks.withWatermark(ts, "0 seconds")
+    clock = [] if ttl_seconds is None else [F.col(ts).alias("_time")]
+    # Only a row that is high may be emitted and carries its text.
+    line = F.concat_ws(" ", *[c.cast("string") for c in _placed(ts, tie)], F.when(high, _row_as_text(schema)))
+    rows = marked.select(F.col(key).alias("_key"), line.alias("_line"), *clock)
     ttl = None if ttl_seconds is None else ttl_seconds * 1_000_000
 
     def edges(_key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,39 +90,31 @@ def rising_edge_rows(ticks: DataFrame, high: Column, ttl_seconds: int | None = 1
                 _arm(state, ttl_seconds)
             return
         seen = state.get if state.exists else None
-        times, ties, highs, texts = [], [], [], []
+        held = []
         for part in parts:
-            at, number, up = (part[c].to_numpy() for c in ("_at", "_tie", "_high"))
-            kept = at != UNDATED
-            if seen is not None:
-                late = (at < seen[0]) | ((at == seen[0]) & (number < seen[1]))
-                # Differences of times beyond 2^63 cannot occur: Spark's years end long before.
-                kept &= ~(late if ttl is None else late & (seen[0] - np.where(kept, at, seen[0]) <= ttl))
-            times.append(at[kept])
-            ties.append(number[kept])
-            highs.append(up[kept].astype(bool))
-            texts.append(part.loc[kept & up.astype(bool), names])
-        at, number, up = np.concatenate(times), np.concatenate(ties), np.concatenate(highs)
-        if len(at):
-            order = np.lexsort((number, at))
-            earlier_up = np.append(seen is not None and seen[2], up[order][:-1])
-            earlier_at = np.append(seen[0] if seen is not None else at[order][0], at[order][:-1])
-            held = earlier_up if ttl is None else earlier_up & (at[order] - earlier_at <= ttl)
-            fires = np.zeros(len(at), bool)
-            fires[order] = up[order] & ~held
-            last = order[-1]
-            state.update((int(at[last]), int(number[last]), bool(up[last])))
-            if fires.any():
-                yield pd.concat(texts, ignore_index=True)[fires[up]]
+            for text in part["_line"].tolist():
+                at, number, *row = text.split(" ", 2)
+                place = int(at), int(number)
+                late = seen is not None and place < seen[:2] and (ttl is None or seen[0] - place[0] <= ttl)
+                if place[0] != UNDATED and not late:
+                    held.append((place, row))
+        if held:
+            held.sort(key=lambda r: r[0])
+            fired = []
+            before, _, up = seen if seen is not None else (None, None, False)
+            for (at, _), row in held:
+                if row and not (up and (ttl is None or at - before <= ttl)):
+                    fired += row
+                before, up = at, bool(row)
+            state.update((*held[-1][0], up))
+            if fired:
+                yield pd.DataFrame({"_row": fired})
         if state.exists:
             _arm(state, ttl_seconds)
 
-    out = StructType()
-    for name in names:
-        out.add(name, "string")
     timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("_key").applyInPandasWithState(edges, out, "at long, tie long, high boolean", "append", timeout) \
-        .select(*_columns_from_text(schema))
+    fired = rows.groupBy("_key").applyInPandasWithState(edges, "_row string", "at long, tie long, high boolean", "append", timeout)
+    return _columns_from_text(fired, schema)
 
 
 def changed_rows(ticks: DataFrame, compared: Sequence[str | Column], passes: Column | None = None, key: str = "token_id",
@@ -120,28 +127,22 @@ def changed_rows(ticks: DataFrame, compared: Sequence[str | Column], passes: Col
     and the key's next row is emitted.
     """
     schema = ticks.schema
-    names = [f"_c_{c}" for c in ticks.columns]
-    rows = ticks.select(F.col(key).alias("_key"), *_placed(*order), payload_hash(compared).alias("_hash"),
-                        (F.lit(True) if passes is None else F.coalesce(passes, F.lit(False))).alias("_passes"), *_columns_as_text(schema))
+    passed = F.lit(True) if passes is None else F.coalesce(passes, F.lit(False))
+    line = F.concat(*[_sortable(c) for c in _placed(*order)], payload_hash(compared), F.when(passed, "T").otherwise("F"), _row_as_text(schema))
+    rows = ticks.select(F.col(key).alias("_key"), line.alias("_line"))
 
     def changes(_key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        place, best = None, None
-        for part in parts:
-            row = part.sort_values(["_at", "_tie", "_hash"]).tail(1)
-            own = tuple(row[["_at", "_tie", "_hash"]].itertuples(index=False, name=None))[0]
-            if place is None or own > place:
-                place, best = own, row
-        if best is not None and bool(best["_passes"].iloc[0]) and not (state.exists and state.get[0] == place[2]):
-            state.update((place[2],))
-            yield best[names]
+        newest = max(max(part["_line"].tolist()) for part in parts)
+        value = newest[HASH_FROM:HASH_TO]
+        if newest[HASH_TO] == "T" and not (state.exists and state.get[0] == value):
+            state.update((value,))
+            yield pd.DataFrame({"_row": [newest[HASH_TO + 1:]]})
         if state.exists:
             _arm(state, ttl_seconds)
 
-    out = StructType()
-    for name in names:
-        out.add(name, "string")
     timeout = GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("_key").applyInPandasWithState(changes, out, "hash string", "append", timeout).select(*_columns_from_text(schema))
+    changed = rows.groupBy("_key").applyInPandasWithState(changes, "_row string", "hash string", "append", timeout)
+    return _columns_from_text(changed, schema)
