@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from tickloom.operators import datasets, models
@@ -93,6 +94,21 @@ def test_token_model_learns_a_later_price(spark, fits):
     assert sorted(train["alpha_target"]) == pytest.approx(sorted(want), rel=1e-9)
 
 
+def test_fits_get_tasks_by_the_number_of_their_rows(spark, monkeypatch):
+    seen = []
+
+    class Noted(Estimator):
+        def _fit(self, dataset):
+            seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+
+    monkeypatch.setattr(models, "gbt", lambda label, **kw: Noted())
+    flat = spark.range(40_000, numPartitions=1).selectExpr(
+        "'x' AS exchange", "'p' AS pair", "timestamp_seconds(id) AS ts", "array_repeat(id * 1.0D, 504) AS features", "id * 1.0D AS y_1h")
+    models.train_horizons(flat, ["1h"])
+    models.train_horizons(flat.limit(300), ["1h"])
+    assert seen == [(3, 40_000), (1, 300)]
+
+
 def test_prediction_rows(spark):
     out = spark.createDataFrame([(7, 0.1, -1.0, 0.0, 0.2, -2.0, 1.0)],
                                 "k int, mu_1h double, log_sigma_1h double, logit_1h double, mu_4h double, log_sigma_4h double, logit_4h double")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scores
 from tickloom.functions.math import logistic, two_class_softmax
+from tickloom.operators.features import SERIES_KEYS
+from tickloom.session import cut_lineage
 
 # Order of the token model's inputs.
 TOKEN_FEATURES = (
@@ -29,6 +31,21 @@ def numeric_inputs(df: DataFrame, features: Sequence[str]) -> DataFrame:
         f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in features})
 
 
+# A fit runs a job per tree level. A task of fewer rows or values than these takes longer to start, and to hand on its histograms of
+# all features, than to read its rows.
+TASK_ROWS, TASK_VALUES = 1 << 14, 1 << 20
+
+
+def dealt(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Training rows of `width` features, in as many partitions as their number asks for, cut from their plan.
+
+    Place and order follow from the keys, so a fit does not depend on how many partitions the plan before it had.
+    """
+    per_task = max(TASK_ROWS, TASK_VALUES // max(1, width))
+    tasks = max(1, -(-df.count() // per_task))
+    return cut_lineage(df.repartition(tasks, *keys).sortWithinPartitions(*keys))
+
+
 def gbt(label: str, features_col: str = "features", depth: int = 6, step: float = 0.05, rounds: int = 300,
         seed: int = 0, checkpoint_rounds: int = 10) -> GBTRegressor:
     return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol="raw", maxDepth=depth, stepSize=step,
@@ -49,7 +66,10 @@ def score_tokens(df: DataFrame, model: PipelineModel, features: Sequence[str] =
 
 def train_horizons(flat: DataFrame, horizons: Sequence[str], **kw) -> dict[str, object]:
     """One boosted-tree model per horizon over the flat window vectors; the fits run side by side."""
-    data = flat.withColumn("features", array_to_vector("features"))
+    width = flat.agg(F.max(F.size("features"))).first()[0] or 0
+    keys = [*SERIES_KEYS, "ts"]
+    data = dealt(flat.select(*keys, "features", *[f"y_{h}" for h in horizons]), keys, width) \
+        .withColumn("features", array_to_vector("features"))
     fit = inheritable_thread_target(flat.sparkSession)(lambda h: gbt(f"y_{h}", **kw).fit(data))
     with ThreadPoolExecutor(len(horizons)) as pool:
         return dict(zip(horizons, pool.map(fit, horizons), strict=True))

@@ -253,7 +253,8 @@ def gbt_scores(spark, d):
     Training stops as many rows before the rest as the longest label looks ahead.
     Where no series is long enough for a training window of 168 rows, windows are shorter.
     """
-    spread = views.spread(spark, d)
+    # Hourly rows are few next to the events, which three passes over the spread would read three times.
+    spread = cut_lineage(views.spread(spark, d))
     gap = max(feature_ops.HORIZONS.values())
     longest = spread.groupBy("exchange", "pair").count().agg(F.max("count")).first()[0] or 0
     usable = int(longest * 0.8) - gap
