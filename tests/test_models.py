@@ -106,7 +106,15 @@ def test_fits_get_tasks_by_the_number_of_their_rows(spark, monkeypatch):
         "'x' AS exchange", "'p' AS pair", "timestamp_seconds(id) AS ts", "array_repeat(id * 1.0D, 504) AS features", "id * 1.0D AS y_1h")
     models.train_horizons(flat, ["1h"])
     models.train_horizons(flat.limit(300), ["1h"])
-    assert seen == [(3, 40_000), (1, 300)]
+    models.train_tokens(spark.range(40_000, numPartitions=12).selectExpr("id AS holders", "id * 1.0D AS target"), "target")
+    assert seen == [(3, 40_000), (1, 300), (1, 40_000)]
+
+
+def test_a_fit_does_not_depend_on_the_partitions_before_it(spark):
+    rows = spark.range(15_000).selectExpr("id AS holders", "hash(id) % 1000 AS velocity", "sin(id / 900.0D) + hash(id) % 3 AS target")
+    trees = [models.train_tokens(df, "target", depth=3, rounds=3).stages[-1].toDebugString.split("\n", 1)[1]
+             for df in (rows.coalesce(1), rows.orderBy(F.desc("velocity")).repartition(7))]
+    assert trees[0] == trees[1]
 
 
 def test_prediction_rows(spark):

@@ -54,7 +54,8 @@ def gbt(label: str, features_col: str = "features", depth: int = 6, step: float
 
 def train_tokens(df: DataFrame, label: str, features: Sequence[str] = TOKEN_FEATURES, **kw) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, gbt(label, **kw)]).fit(numeric_inputs(df, features))
+    data = dealt(numeric_inputs(df, features).select(*features, label), [*features, label], len(features))
+    return Pipeline(stages=[assembler, gbt(label, **kw)]).fit(data)
 
 
 def score_tokens(df: DataFrame, model: PipelineModel, features: Sequence[str] = TOKEN_FEATURES) -> DataFrame:
