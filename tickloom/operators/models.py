@@ -37,13 +37,16 @@ TASK_ROWS, TASK_VALUES = 1 << 14, 1 << 20
 
 
 def dealt(df: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Training rows of `width` features, in as many partitions as their number asks for, cut from their plan.
+    """Training rows of `width` features, in as many partitions as their number asks for.
 
-    Place and order follow from the keys, so a fit does not depend on how many partitions the plan before it had.
+    `df` should be cut from its plan, as it is read to be counted. Where it has too few partitions, place and order follow from the keys.
     """
     per_task = max(TASK_ROWS, TASK_VALUES // max(1, width))
     tasks = max(1, -(-df.count() // per_task))
-    return cut_lineage(df.repartition(tasks, *keys).sortWithinPartitions(*keys))
+    have = df.rdd.getNumPartitions()
+    if tasks > have:
+        return cut_lineage(df.repartition(tasks, *keys).sortWithinPartitions(*keys))
+    return df.coalesce(tasks) if tasks < have else df
 
 
 def gbt(label: str, features_col: str = "features", depth: int = 6, step: float = 0.05, rounds: int = 300,
